@@ -174,7 +174,7 @@ WITH docs AS (
 ),
 groups AS (
   SELECT source_file, 'referenced' AS group_kind, supplier AS provider_group_id, supplier AS key,
-    line % 3 + 1 AS n_npis, 'Clinic' AS business_name, o_orderpriority AS network_names, NULL AS rate_ord, 0 AS at
+    line % 3 + 1 AS n_npis, 'Clinic' AS business_name, o_orderpriority AS network_names, NULL AS rate_ord, 0 AS pos
   FROM docs
   UNION ALL SELECT source_file, 'referenced', supplier + 100000, part, line % 3, NULL, o_orderpriority, NULL, 0 FROM docs
   UNION ALL SELECT source_file, 'embedded', 1, supplier, line % 3, 'Clinic', NULL, 0, 0 FROM docs WHERE embedded
@@ -193,10 +193,10 @@ allowed AS (
 ),
 kept_providers AS (SELECT * FROM providers WHERE npi IN (SELECT npi FROM allowed)),
 links AS (
-  SELECT source_file, 0 AS rate_ord, 0 AS at, 'referenced' AS group_kind, supplier AS provider_group_id FROM docs WHERE NOT embedded
+  SELECT source_file, 0 AS rate_ord, 0 AS pos, 'referenced' AS group_kind, supplier AS provider_group_id FROM docs WHERE NOT embedded
   UNION ALL SELECT source_file, 0, 1, 'referenced', supplier + 100000 FROM docs WHERE NOT embedded
   UNION ALL SELECT source_file, 1, 0, 'referenced', supplier + 100000 FROM docs WHERE NOT embedded
-  UNION ALL SELECT source_file, rate_ord, at, group_kind, provider_group_id FROM groups
+  UNION ALL SELECT source_file, rate_ord, pos, group_kind, provider_group_id FROM groups
     WHERE group_kind = 'embedded' AND n_npis > 0
 ),
 prices AS (
@@ -222,7 +222,7 @@ _RATE_COLUMNS = """
 def _rate_rows(join: str, links: str) -> str:
     return f"""{_RATES},
 lists AS (
-  SELECT source_file, rate_ord, string_agg(CAST(provider_group_id AS VARCHAR), ',' ORDER BY at) AS ids
+  SELECT source_file, rate_ord, string_agg(CAST(provider_group_id AS VARCHAR), ',' ORDER BY pos) AS ids
   FROM {links} GROUP BY ALL
 )
 SELECT {_RATE_COLUMNS}
@@ -389,8 +389,8 @@ _EXPLANATIONS = """CASE code_type
 ORACLES: dict[str, str] = {
     "price_compare": f"{_ONE_CODE} SELECT * FROM prices",
     "price_compare_all_codes": f"{_ALL_CODES} SELECT * FROM prices",
-    "code_search": f"""{_SEARCH}
-ORDER BY CASE WHEN c.code ILIKE 'ri%' THEN 0 ELSE 1 END, c.code, c.code_type, i.description LIMIT 20""",
+    "code_search": f"""SELECT * FROM ({_SEARCH}) AS hits
+ORDER BY CASE WHEN code ILIKE 'ri%' THEN 0 ELSE 1 END, code, code_type, description LIMIT 20""",
     "code_search_all_hits": _SEARCH,
     "code_exists": f"{_STAR} SELECT count(*) > 0 AS exists FROM codes WHERE code = 'Brand#17' AND code_type = 'HCPCS'",
     "service_info": f"""{_STAR} SELECT DISTINCT c.code, c.code_type, i.description
@@ -542,12 +542,12 @@ FROM prices p JOIN links l USING (source_file, rate_ord)
 JOIN providers pr USING (source_file, group_kind, provider_group_id) GROUP BY pr.npi""",
     "embedded_groups": """WITH listed AS (
   SELECT CASE WHEN o_orderstatus = 'F' THEN 'file-a' ELSE 'file-b' END AS source_file, o_orderkey AS item_ord,
-    rate_ord, at, o_custkey + at + 2 * rate_ord AS key,
-    CASE WHEN rate_ord = 1 THEN 2 WHEN at = 0 THEN o_custkey % 3 ELSE 1 END AS n_npis
-  FROM orders, (VALUES (0, 0), (0, 1), (1, 0)) AS v(rate_ord, at) WHERE rate_ord = 0 OR o_orderstatus = 'F'
+    rate_ord, pos, o_custkey + pos + 2 * rate_ord AS key,
+    CASE WHEN rate_ord = 1 THEN 2 WHEN pos = 0 THEN o_custkey % 3 ELSE 1 END AS n_npis
+  FROM orders, (VALUES (0, 0), (0, 1), (1, 0)) AS v(rate_ord, pos) WHERE rate_ord = 0 OR o_orderstatus = 'F'
 )
 SELECT source_file, item_ord, CAST(rate_ord AS INTEGER) AS rate_ord,
-  row_number() OVER (PARTITION BY source_file ORDER BY item_ord, rate_ord, at) AS provider_group_id,
+  row_number() OVER (PARTITION BY source_file ORDER BY item_ord, rate_ord, pos) AS provider_group_id,
   lpad(CAST(key AS VARCHAR), 9, '0') AS tin_value,
   concat_ws(',', CASE WHEN n_npis > 0 THEN CAST(1000000000 + key * 10 AS VARCHAR) END,
     CASE WHEN n_npis > 1 THEN CAST(1000000000 + key * 10 + 1 AS VARCHAR) END) AS npis

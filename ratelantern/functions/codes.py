@@ -12,13 +12,11 @@ def code_columns(pairs: Column) -> list[Column]:
 
     ``pairs`` must already carry upper-case types.
     """
-    return [
-        F.get(
-            F.filter(pairs, lambda p, t=code_type: p["type"] == t),
-            F.size(F.filter(pairs, lambda p, t=code_type: p["type"] == t)) - 1,
-        )["code"].alias(column)
-        for code_type, column in CODE_COLUMNS.items()
-    ]
+    def last_code(code_type: str) -> Column:
+        of_type = F.filter(pairs, lambda p: p["type"] == code_type)
+        return F.get(of_type, F.size(of_type) - 1)["code"]
+
+    return [last_code(code_type).alias(column) for code_type, column in CODE_COLUMNS.items()]
 
 
 def code_pairs(columns: dict[str, str] = CODE_COLUMNS) -> Column:
