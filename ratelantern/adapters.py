@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer tasks than there are cores; leave larger scans alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _remainder(column: str, n: int) -> Column:
     return F.col(column) % n
 
@@ -32,7 +38,7 @@ def _text(*parts) -> Column:
 
 def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One charge row per line item."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part")
     suppliers = table(spark, sf_dir, "supplier")
     nations = table(spark, sf_dir, "nation")
@@ -93,7 +99,7 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table-of-contents document per order, written as JSON text and parsed again."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customers = table(spark, sf_dir, "customer")
     rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
     state = F.when(_remainder("c_nationkey", 5) == 0, "NY").otherwise("CA")
@@ -173,7 +179,7 @@ def in_network_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every fifth order writes its provider groups into the rates instead.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     supplier, part, line = F.col("o_custkey") % 1000, key % 20011, key % 7
     embedded = key % 5 == 0
@@ -268,7 +274,7 @@ def allowed_npis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as in-network items of a few large files, with provider groups in the rates."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_custkey")
     rates = F.array(
         F.struct(
@@ -313,7 +319,7 @@ def _csv_records(spark: SparkSession, sf_dir: str, columns: list[str], cells: li
         ],
         "source_file string, names array<string>, values array<string>, columns array<string>",
     )
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem")).select(
         _text("hospital-", F.col("l_suppkey") % 2).alias("source_file"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_ord"),
         F.floor(F.col("l_orderkey") / (1 << 17)).alias("row_chunk"),
@@ -367,7 +373,7 @@ def wide_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hospital_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hospital document per order, version 2 or 3, with one item of two charges."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     is_v3 = key % 2 == 0
     total = F.col("o_totalprice")

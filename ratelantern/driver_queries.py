@@ -18,7 +18,7 @@ from ratelantern.operators import matching, profiles, quality, rates, star, toc
 from ratelantern.operators.ordered import mark_runs, row_chunk
 from ratelantern.plans import compare, detail, listings, search
 from ratelantern.session import write_stage
-from ratelantern.sources import hospital_json
+from ratelantern.sources import hospital_json, in_network
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,10 @@ def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
 
 
 def charge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage(spark, sf_dir, "charges", lambda: adapters.charges(spark, sf_dir))
+    """Charge rows, stored together with the ids of their parents."""
+    return _stage(
+        spark, sf_dir, "charges", lambda: star.with_ids(adapters.charges(spark, sf_dir))
+    )
 
 
 def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -49,11 +52,16 @@ def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items, references = adapters.in_network(spark, sf_dir)
-    return (
-        _stage(spark, sf_dir, "in-network-items", lambda: items),
-        _stage(spark, sf_dir, "provider-references", lambda: references),
+    documents = _stage(
+        spark, sf_dir, "in-network", lambda: adapters.in_network_documents(spark, sf_dir)
     )
+    return in_network.items(documents), in_network.references(documents)
+
+
+def load_documents(spark: SparkSession, sf_dir: str) -> None:
+    _structures(spark, sf_dir)
+    _in_network(spark, sf_dir)
+    _hospital_items(spark, sf_dir)
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -156,11 +164,11 @@ def unpivot_codes_query(spark, sf_dir):
 
 
 def dim_codes(spark, sf_dir):
-    return star.codes(star.with_ids(charge_rows(spark, sf_dir)))
+    return star.codes(charge_rows(spark, sf_dir))
 
 
 def item_codes(spark, sf_dir):
-    rows = star.with_ids(charge_rows(spark, sf_dir))
+    rows = charge_rows(spark, sf_dir)
     return (
         star.item_codes(rows)
         .join(star.codes(rows), "code_id")
@@ -170,14 +178,14 @@ def item_codes(spark, sf_dir):
 
 
 def items_by_key(spark, sf_dir):
-    rows = star.with_ids(charge_rows(spark, sf_dir))
+    rows = charge_rows(spark, sf_dir)
     return star.items(rows).select(
         "hospital_id", "description", "drug_unit", "drug_unit_type"
     )
 
 
 def charges_by_key(spark, sf_dir):
-    rows = star.with_ids(charge_rows(spark, sf_dir))
+    rows = charge_rows(spark, sf_dir)
     return star.standard_charges(rows).select(
         "setting",
         "gross_charge",
@@ -190,7 +198,7 @@ def charges_by_key(spark, sf_dir):
 
 
 def hospitals(spark, sf_dir):
-    rows = star.with_ids(charge_rows(spark, sf_dir))
+    rows = charge_rows(spark, sf_dir)
     return star.hospitals(rows).select(
         "hospital_id",
         "source_file",
@@ -204,7 +212,7 @@ def hospitals(spark, sf_dir):
 
 def payer_charges(spark, sf_dir):
     """Payer charges of all charge rows, compared by their values and by parent."""
-    rows = star.with_ids(charge_rows(spark, sf_dir))
+    rows = charge_rows(spark, sf_dir)
     return star.payer_charges(rows).select(
         "payer_id", "plan_id", "methodology", "standard_charge_dollar",
         "standard_charge_percentage", "estimated_amount", "additional_notes",
@@ -414,10 +422,16 @@ def wide_unpivot(spark, sf_dir):
     return _charge_result(charge_ops.csv_charges(adapters.wide_records(spark, sf_dir)))
 
 
+def _hospital_documents(spark, sf_dir):
+    return _stage(
+        spark, sf_dir, "hospital-documents", lambda: adapters.hospital_documents(spark, sf_dir)
+    )
+
+
 def _hospital_items(spark, sf_dir):
     return _stage(
         spark, sf_dir, "hospital-items",
-        lambda: hospital_json.items(adapters.hospital_documents(spark, sf_dir)),
+        lambda: hospital_json.items(_hospital_documents(spark, sf_dir)),
     )
 
 
@@ -437,7 +451,7 @@ def charge_conversion_stats(spark, sf_dir):
 
 
 def modifier_payers(spark, sf_dir):
-    documents = adapters.hospital_documents(spark, sf_dir)
+    documents = _hospital_documents(spark, sf_dir)
     tables = star.modifier_tables(hospital_json.modifiers(documents))
     return (
         tables["modifier_payer_info"]
@@ -489,7 +503,7 @@ def flex_numbers(spark, sf_dir):
 
 
 def utf8_repair(spark, sf_dir):
-    documents = adapters.table(spark, sf_dir, "documents")
+    documents = adapters.spread(adapters.table(spark, sf_dir, "documents"))
     damaged = F.translate("text", "eaou", "\ufffd" * 4)
     return documents.select(
         "doc_id",

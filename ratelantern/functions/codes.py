@@ -19,20 +19,31 @@ def code_columns(pairs: Column) -> list[Column]:
     return [last_code(code_type).alias(column) for code_type, column in CODE_COLUMNS.items()]
 
 
-def code_pairs(columns: dict[str, str] = CODE_COLUMNS) -> Column:
-    """The filled code columns of a charge row as ``array<struct<code, code_type>>``."""
-    every = F.array(
+def has_code() -> Column:
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in CODE_COLUMNS.values()]).isNotNull()
+
+
+def code_text() -> Column:
+    """All filled codes of a charge row as ``TYPE:code|TYPE:code``, in the fixed order."""
+    return F.concat_ws(
+        "|",
         *[
-            F.struct(F.col(column).alias("code"), F.lit(code_type).alias("code_type"))
-            for code_type, column in columns.items()
-        ]
+            F.when(F.col(column) != "", F.concat(F.lit(f"{code_type}:"), F.col(column)))
+            for code_type, column in CODE_COLUMNS.items()
+        ],
     )
-    return F.filter(every, lambda p: p["code"] != "")
 
 
 def unpivot_codes(df: DataFrame, *keep: str) -> DataFrame:
     """One row per filled code column, in the fixed order of code types."""
-    return df.select(*keep, F.inline(code_pairs()))
+    every = F.array(
+        *[
+            F.struct(F.col(column).alias("code"), F.lit(code_type).alias("code_type"))
+            for code_type, column in CODE_COLUMNS.items()
+        ]
+    )
+    # Unfolding all and filtering after compiles to a plain loop; a lambda would not.
+    return df.select(*keep, F.inline(every)).where(F.col("code") != "")
 
 
 def normalised_key(c: Column) -> Column:

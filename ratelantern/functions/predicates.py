@@ -26,9 +26,16 @@ class PlanFilter:
     @property
     def all_keywords(self) -> list[str]:
         extra = [k.strip().lower() for k in self.extra_keywords]
+        if any("\n" in k or "\\E" in k for k in extra):
+            raise ValueError("a keyword is a single line of plain text")
         return [*self.keywords, *[k for k in extra if k]]
 
 
+def _any_of(keywords: Sequence[str]) -> str:
+    """A pattern that finds any of the literal texts."""
+    return "|".join(r"\Q" + k + r"\E" for k in keywords)
+
+
 def hios_state(plan_id: Column) -> Column:
     """Characters six and seven of a HIOS plan id."""
     return F.when(F.length(plan_id) >= 7, F.substring(F.upper(plan_id), 6, 2))
@@ -44,8 +51,10 @@ def plan_matches(plan: Callable[[str], Column], wanted: PlanFilter) -> Column:
         is_hios = plan("plan_id_type") == "hios"
         evidence.append(is_hios & (hios_state(plan("plan_id")) == wanted.state.upper()))
     if wanted.state and wanted.use_keywords:
-        names = [F.lower(plan(f)) for f in ("plan_name", "issuer_name", "plan_sponsor_name")]
-        evidence += [name.contains(k) for k in wanted.all_keywords for name in names]
+        # One text with line breaks between the names; no keyword has one, so none can match
+        # across two names.
+        names = F.concat_ws("\n", *[plan(f) for f in ("plan_name", "issuer_name", "plan_sponsor_name")])
+        evidence.append(F.lower(names).rlike(_any_of(wanted.all_keywords)))
     if not evidence:
         return market_ok
     found = reduce(or_, [F.coalesce(e, F.lit(False)) for e in evidence])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ratelantern import fixed_values as fixed
 from ratelantern.fixed_values import CODE_COLUMNS
-from ratelantern.functions.codes import code_pairs
+from ratelantern.functions.codes import has_code
 
 Rules = Mapping[str, Column]
 
@@ -62,7 +62,7 @@ def charge_rules() -> Rules:
         | _given(F.col("negotiated_algorithm"))
     )
     any_price = negotiated | F.col("gross_charge").isNotNull() | F.col("discounted_cash").isNotNull()
-    no_code = F.size(code_pairs()) == 0
+    no_code = ~has_code()
     notes = _given(F.col("additional_generic_notes")) | _given(F.col("additional_payer_notes"))
     unit, kind = F.col("drug_unit_of_measurement"), F.col("drug_type_of_measurement")
     modifier_only = _given(F.col("modifiers")) & no_code

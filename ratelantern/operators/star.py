@@ -18,7 +18,8 @@ from ratelantern.functions.clean import (
     single_value_array,
     split_modifiers,
 )
-from ratelantern.functions.codes import code_pairs
+from ratelantern.fixed_values import CODE_COLUMNS
+from ratelantern.functions.codes import code_text, unpivot_codes
 from ratelantern.operators.ordered import mark_runs
 
 STAR_TABLES = [
@@ -46,12 +47,9 @@ def loaded_text(c: Column) -> Column:
 
 def item_key() -> list[Column]:
     """Rows of one file with equal values here describe one item."""
-    codes = F.array_join(
-        F.transform(code_pairs(), lambda p: F.concat(p["code_type"], F.lit(":"), p["code"])), "|"
-    )
     return [
         F.col("description"),
-        codes,
+        code_text(),
         fixed_text(F.col("drug_unit_of_measurement"), 4),
         F.col("drug_type_of_measurement"),
     ]
@@ -142,19 +140,15 @@ def _code_id() -> Column:
 def item_codes(rows: DataFrame) -> DataFrame:
     """Item-code links without repeats.
 
-    An item's codes are part of its key, so one row per item is enough: repeats go before the
-    codes are unfolded.
+    An item's codes are part of its key, so repeats go before the codes are unfolded and the
+    links need no second pass.
     """
-    per_item = rows.groupBy("item_id").agg(F.first(code_pairs()).alias("_pairs"))
-    return (
-        per_item.select("item_id", F.inline("_pairs"))
-        .select("item_id", _code_id().alias("code_id"))
-        .distinct()
-    )
+    per_item = rows.select("item_id", *CODE_COLUMNS.values()).distinct()
+    return unpivot_codes(per_item, "item_id").select("item_id", _code_id().alias("code_id"))
 
 
 def codes(rows: DataFrame) -> DataFrame:
-    return rows.select(F.inline(code_pairs())).distinct().select(
+    return unpivot_codes(rows).distinct().select(
         _code_id().alias("code_id"), "code", "code_type"
     )
 
@@ -211,8 +205,11 @@ def payer_charges(rows: DataFrame) -> DataFrame:
 def build_star(
     charges: DataFrame, grouping: str = "key", skip_payer_charges: bool = True
 ) -> dict[str, DataFrame]:
-    """All tables of the star. Payer tables stay empty unless asked for."""
-    rows = with_ids(charges, grouping)
+    """All tables of the star. Payer tables stay empty unless asked for.
+
+    ``charges`` may carry the ids already (stored with them, they are computed once).
+    """
+    rows = charges if "item_id" in charges.columns else with_ids(charges, grouping)
     payer_rows = rows.where(F.lit(False)) if skip_payer_charges else rows
     return {
         "hospitals": hospitals(rows),

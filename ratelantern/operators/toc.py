@@ -26,6 +26,14 @@ def _urls() -> Column:
     return F.coalesce(locations, F.array().cast("array<string>"))
 
 
+def _plan_columns() -> list[Column]:
+    plan = F.col("plan")
+    return [
+        *[empty_if_null(plan[f]).alias(f) for f in PLAN_FIELDS],
+        plan_description(lambda f: plan[f]).alias("description"),
+    ]
+
+
 def plans(structures: DataFrame, wanted: PlanFilter = PlanFilter()) -> DataFrame:
     """One row per matched plan with the rate-file URLs of its structure."""
     exploded = structures.select(
@@ -35,20 +43,24 @@ def plans(structures: DataFrame, wanted: PlanFilter = PlanFilter()) -> DataFrame
     return exploded.select(
         "source_file",
         "structure_id",
-        *[empty_if_null(F.col("plan")[f]).alias(f) for f in PLAN_FIELDS],
-        plan_description(lambda f: F.col("plan")[f]).alias("description"),
+        *_plan_columns(),
         "in_network_urls",
         F.size("in_network_urls").alias("url_count"),
     )
 
 
 def normalised_plans(structures: DataFrame, wanted: PlanFilter = PlanFilter()) -> DataFrame:
-    """Matched plans that refer to their structure instead of repeating its URLs."""
-    return plans(structures, wanted).select(
+    """Matched plans that refer to their structure instead of repeating its URLs.
+
+    URLs are not even read, so plans are unfolded first and filtered in compiled code.
+    """
+    exploded = structures.select(
         "source_file",
         F.col("structure_id").alias("reporting_structure_id"),
-        *PLAN_FIELDS,
-        "description",
+        F.explode("reporting_plans").alias("plan"),
+    )
+    return exploded.where(plan_matches(lambda f: F.col("plan")[f], wanted)).select(
+        "source_file", "reporting_structure_id", *_plan_columns()
     )
 
 

@@ -9,8 +9,6 @@ from ratelantern.plans.search import Star
 
 PRICE_COLUMNS = [
     "hospital_id",
-    "hospital_name",
-    "hospital_address",
     "setting",
     "gross_charge",
     "discounted_cash",
@@ -63,10 +61,12 @@ def with_hospital(df: DataFrame, hospitals: DataFrame) -> DataFrame:
 
 
 def price_tuples(star: Star, code: str | None = None, code_type: str | None = None) -> DataFrame:
-    """Distinct price rows of a code, or of every code when none is given."""
+    """Distinct price rows of a code, or of every code when none is given.
+
+    Name and address follow from the hospital id and are added when groups are small.
+    """
     keys = [] if code is not None else ["code", "code_type"]
-    rows = with_hospital(selected_charges(star, code, code_type), star["hospitals"])
-    return rows.select(*keys, *PRICE_COLUMNS).distinct()
+    return selected_charges(star, code, code_type).select(*keys, *PRICE_COLUMNS).distinct()
 
 
 def _nulls_last(name: str) -> list[Column]:
@@ -94,11 +94,12 @@ def compare_prices(
         F.count("estimated_amount").alias("plan_count"),
     )
     medians = exact_quantiles(tuples, keys, "estimated_amount", {"median_estimate": 0.5})
-    return (
+    compared = (
         best.join(medians, keys, "left")
         .select(*keys, "_best.*", "median_estimate", "plan_count")
         .drop("estimated_amount")
     )
+    return with_hospital(compared, star["hospitals"])
 
 
 def by_price(prices: DataFrame) -> DataFrame:
