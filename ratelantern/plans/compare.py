@@ -66,7 +66,13 @@ def price_tuples(star: Star, code: str | None = None, code_type: str | None = No
     Name and address follow from the hospital id and are added when groups are small.
     """
     keys = [] if code is not None else ["code", "code_type"]
-    return selected_charges(star, code, code_type).select(*keys, *PRICE_COLUMNS).distinct()
+    # ``estimate`` repeats a grouping column as an aggregate: conditions on it stay above the
+    # shuffle, so the uses of this frame within one query share that shuffle.
+    return (
+        selected_charges(star, code, code_type)
+        .groupBy(*keys, *PRICE_COLUMNS)
+        .agg(F.max("estimated_amount").alias("estimate"))
+    )
 
 
 def _nulls_last(name: str) -> list[Column]:
@@ -91,9 +97,9 @@ def compare_prices(
     )
     best = tuples.groupBy(*keys).agg(
         F.min_by(F.struct(*others), rank).alias("_best"),
-        F.count("estimated_amount").alias("plan_count"),
+        F.count("estimate").alias("plan_count"),
     )
-    medians = exact_quantiles(tuples, keys, "estimated_amount", {"median_estimate": 0.5})
+    medians = exact_quantiles(tuples, keys, "estimate", {"median_estimate": 0.5})
     compared = (
         best.join(medians, keys, "left")
         .select(*keys, "_best.*", "median_estimate", "plan_count")
