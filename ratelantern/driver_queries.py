@@ -125,12 +125,12 @@ def headline_price(spark, sf_dir):
 
 
 def price_summary(spark, sf_dir):
-    prices = compare.compare_prices(star_tables(spark, sf_dir))
+    prices = compare.best_prices(star_tables(spark, sf_dir))
     return compare.price_summary(prices, "code", "code_type")
 
 
 def lowest_flag(spark, sf_dir):
-    prices = compare.compare_prices(star_tables(spark, sf_dir))
+    prices = compare.best_prices(star_tables(spark, sf_dir))
     return compare.flag_lowest(prices, "code", "code_type").select(
         "code", "code_type", "hospital_name", "display_price", "price_kind", "is_lowest"
     )

@@ -1,9 +1,9 @@
 """Exact grouped quantiles with linear interpolation, safe for very large groups.
 
-``percentile`` keeps all distinct values of a group in one task. Here values are counted
-first (partial aggregation, hashed on group and value), a histogram with a fixed number of
-buckets per group locates the wanted ranks, and only the buckets that hold such a rank are
-sorted.
+``percentile`` keeps all distinct values of a group in one task. So values are counted first
+(partial aggregation, hashed on group and value). Groups with few distinct values then use
+``percentile`` on the counts. For large ones a histogram with a fixed number of buckets per
+group locates the wanted ranks, and only the buckets that hold such a rank are sorted.
 """
 
 from collections.abc import Mapping, Sequence
@@ -20,8 +20,19 @@ def _bucket(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * _RESOLUTION)).cast("bigint")
 
 
+# Distinct values up to which a group is left to one task.
+_SMALL_GROUP = 200_000
+# Limit of the list of large groups. Groups beyond it are computed like small ones, so this
+# bounds the size of a broadcast and never a result.
+_MAX_LARGE_GROUPS = 50_000
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: Mapping[str, float],
+    small_group: int = _SMALL_GROUP,
 ) -> DataFrame:
     """One row per group: its keys, ``n_values`` and one column per wanted quantile.
 
@@ -30,10 +41,37 @@ def exact_quantiles(
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_value"))
-        .groupBy(*keys, _bucket(F.col("_value")).alias("_bucket"), "_value")
+        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count("*").alias("_rows"))
     )
+    large = F.broadcast(
+        counts.groupBy(*keys)
+        .agg(F.count("*").alias("_distinct"))
+        .where(F.col("_distinct") > small_group)
+        .orderBy(F.desc("_distinct"), *keys)
+        .limit(_MAX_LARGE_GROUPS)
+        .select(*keys)
+    )
+    names = list(wanted)
+    of_small = (
+        counts.join(large, keys, "left_anti")
+        .groupBy(*keys)
+        .agg(
+            F.sum("_rows").alias("n_values"),
+            F.percentile("_value", list(wanted.values()), F.col("_rows")).alias("_quantiles"),
+        )
+        .select(*keys, "n_values", *[F.col("_quantiles")[i].alias(n) for i, n in enumerate(names)])
+    )
+    return of_small.unionByName(
+        _histogram_quantiles(counts.join(large, keys, "left_semi"), keys, wanted)
+    )
+
+
+def _histogram_quantiles(
+    counts: DataFrame, keys: list[str], wanted: Mapping[str, float]
+) -> DataFrame:
+    """Quantiles from (keys, _value, _rows) without bringing a group into one task."""
+    counts = counts.withColumn("_bucket", _bucket(F.col("_value")))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
     histogram = (
         counts.groupBy(*keys, "_bucket")

@@ -28,7 +28,10 @@ def selected_charges(star: Star, code: str | None, code_type: str | None) -> Dat
     Codes are filtered first and everything else follows by equi-joins on ids; which sides are
     small enough to broadcast is left to the optimizer, hot ids to adaptive skew handling.
     """
-    codes = star["codes"]
+    # Never null in the star; saying so here keeps every use of the result the same to the
+    # optimizer, so several uses in one query share their shuffles.
+    codes = star["codes"].where("code is not null and code_type is not null")
+    items = star["standard_charge_items"].where("hospital_id is not null")
     if code is not None:
         codes = codes.where(F.col("code") == code)
     if code_type is not None:
@@ -43,7 +46,7 @@ def selected_charges(star: Star, code: str | None, code_type: str | None) -> Dat
     return (
         star["item_codes"]
         .join(codes, "code_id")
-        .join(star["standard_charge_items"].select("item_id", "hospital_id", "description"), "item_id")
+        .join(items.select("item_id", "hospital_id", "description"), "item_id")
         .join(charges, "item_id")
         .join(payer_charges, "standard_charge_id", "left")
         .join(star["payers"].withColumnRenamed("name", "payer_name"), "payer_id", "left")
@@ -79,15 +82,11 @@ def _nulls_last(name: str) -> list[Column]:
     return [F.col(name).isNull(), F.col(name)]
 
 
-def compare_prices(
-    star: Star, code: str | None = None, code_type: str | None = None
-) -> DataFrame:
-    """Per hospital the row with the lowest cash price, and median and number of estimates.
+def _keys(code: str | None) -> list[str]:
+    return (["code", "code_type"] if code is None else []) + ["hospital_id"]
 
-    With ``code=None`` the comparison is made for each code on its own.
-    """
-    tuples = price_tuples(star, code, code_type)
-    keys = (["code", "code_type"] if code is None else []) + ["hospital_id"]
+
+def _best(tuples: DataFrame, keys: list[str]) -> DataFrame:
     others = [c for c in PRICE_COLUMNS if c != "hospital_id"]
     # Lowest cash, then lowest gross; the remaining columns only make ties deterministic.
     rank = F.struct(
@@ -95,16 +94,30 @@ def compare_prices(
         *_nulls_last("gross_charge"),
         *[F.col(c) for c in others if c not in ("discounted_cash", "gross_charge")],
     )
-    best = tuples.groupBy(*keys).agg(
-        F.min_by(F.struct(*others), rank).alias("_best"),
-        F.count("estimate").alias("plan_count"),
-    )
-    medians = exact_quantiles(tuples, keys, "estimate", {"median_estimate": 0.5})
-    compared = (
-        best.join(medians, keys, "left")
-        .select(*keys, "_best.*", "median_estimate", "plan_count")
+    return (
+        tuples.groupBy(*keys)
+        .agg(F.min_by(F.struct(*others), rank).alias("_best"), F.count("estimate").alias("plan_count"))
+        .select(*keys, "_best.*", "plan_count")
         .drop("estimated_amount")
     )
+
+
+def best_prices(star: Star, code: str | None = None, code_type: str | None = None) -> DataFrame:
+    """Per hospital the row with the lowest cash price and the number of estimates.
+
+    With ``code=None`` the comparison is made for each code on its own.
+    """
+    best = _best(price_tuples(star, code, code_type), _keys(code))
+    return with_hospital(best, star["hospitals"])
+
+
+def compare_prices(
+    star: Star, code: str | None = None, code_type: str | None = None
+) -> DataFrame:
+    """``best_prices`` with the median of the estimates of each hospital."""
+    tuples, keys = price_tuples(star, code, code_type), _keys(code)
+    medians = exact_quantiles(tuples, keys, "estimate", {"median_estimate": 0.5})
+    compared = _best(tuples, keys).join(medians.drop("n_values"), keys, "left")
     return with_hospital(compared, star["hospitals"])
 
 

@@ -38,7 +38,8 @@ def test_offsets_match_a_simple_loop(spark, chunk):
     assert {r["at"]: r.offset for r in got.collect()} == expected
 
 
-def test_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("small_group", [0, 3, 10**6])
+def test_quantiles_match_numpy(spark, small_group):
     rng = np.random.default_rng(1)
     groups = {
         "hot": rng.lognormal(5, 3, 4000).round(2),
@@ -52,7 +53,7 @@ def test_quantiles_match_numpy(spark):
     data += [("hot", None), ("none", None)]
     df = spark.createDataFrame(data, "k string, v double")
     wanted = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", wanted).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", wanted, small_group).collect()}
     assert set(got) == set(groups)
     for k, values in groups.items():
         assert got[k].n_values == len(values)
