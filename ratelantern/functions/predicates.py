@@ -81,9 +81,9 @@ def escape_like(text: str) -> str:
 def search_conditions(
     code: Column, description: Column, text: str, wildcards: bool = False
 ) -> tuple[Column, Column]:
-    """(code starts with the text, row is a hit). Texts under two characters hit nothing."""
+    """(code starts with the text, description contains it); texts under two characters
+    match nothing."""
     if not text or len(text) < 2:
         return F.lit(False), F.lit(False)
     pattern = text if wildcards else escape_like(text)
-    prefix = code.ilike(f"{pattern}%")
-    return prefix, prefix | description.ilike(f"%{pattern}%")
+    return code.ilike(f"{pattern}%"), description.ilike(f"%{pattern}%")

@@ -141,10 +141,13 @@ def tall_charges(records: DataFrame) -> DataFrame:
 
 def wide_charges(records: DataFrame) -> DataFrame:
     """Wide records give one row per filled payer/plan group, or one row without payer."""
+    common = _common(records.where("layout.kind = 'wide'"))
+    # The cells are not carried along: they would be repeated for every payer.
+    carried = [c for c in common.columns if c not in ("cells", "layout", "_pairs")]
     return as_charges(
-        _common(records.where("layout.kind = 'wide'"))
-        .select("*", F.explode_outer(_payer_groups()).alias("_payer"))
-        .select("*", "_payer.*")
+        common.select(*carried, _payer_groups().alias("_groups"))
+        .select(*carried, F.explode_outer("_groups").alias("_payer"))
+        .select(*carried, "_payer.*")
     )
 
 
@@ -167,13 +170,38 @@ def json_charges(items: DataFrame) -> DataFrame:
             empty_if_null(c["code"]).alias("code"), F.upper(c["type"]).alias("type")
         ),
     )
-    per_charge = (
-        items.withColumn("_pairs", pairs)
-        .select("*", *code_columns(F.col("_pairs")))
-        .select("*", F.posexplode("item.standard_charges").alias("_charge_ord", "charge"))
+    # Before each unfolding, the fields needed later are taken out of the nested value, so
+    # an item is not copied onto its charges nor a charge with all payers onto each payer.
+    per_item = items.select(
+        "source_file",
+        "item_ord",
+        "meta",
+        pairs.alias("_pairs"),
+        empty_if_null(repaired_utf8(F.col("item.description"))).alias("description"),
+        flexible_number(F.col("item.drug_information.unit")).alias("drug_unit_of_measurement"),
+        null_if_empty(F.col("item.drug_information.type")).alias("drug_type_of_measurement"),
+        F.col("item.standard_charges").alias("_charges"),
+    ).select("*", *code_columns(F.col("_pairs")))
+    of_item = [c for c in per_item.columns if c not in ("_pairs", "_charges")]
+    per_charge = per_item.select(
+        *of_item, F.posexplode("_charges").alias("_charge_ord", "charge")
+    ).select(
+        *of_item,
+        "_charge_ord",
+        empty_if_null(repaired_utf8(F.col("charge.setting"))).alias("setting"),
+        F.coalesce(
+            F.col("charge.gross_charge"), flexible_number(F.col("charge.gross_charges"))
+        ).alias("gross_charge"),
+        F.col("charge.discounted_cash").alias("discounted_cash"),
+        F.col("charge.minimum").alias("min_charge"),
+        F.col("charge.maximum").alias("max_charge"),
+        joined_modifiers(F.col("charge.modifier_code")).alias("modifiers"),
+        repaired_utf8(F.col("charge.additional_generic_notes")).alias("additional_generic_notes"),
+        F.col("charge.payers_information").alias("_payers"),
     )
+    of_charge = [c for c in per_charge.columns if c != "_payers"]
     per_payer = per_charge.select(
-        "*", F.posexplode_outer("charge.payers_information").alias("_payer_ord", "payer")
+        *of_charge, F.posexplode_outer("_payers").alias("_payer_ord", "payer")
     )
 
     def payer_text(field: str) -> Column:
@@ -195,21 +223,17 @@ def json_charges(items: DataFrame) -> DataFrame:
             *[F.col("meta")[c].alias(c) for c in META_COLUMNS[:8]],
             F.col("meta.npis").alias("npis"),
             F.col("meta.attester_name").alias("attester_name"),
-            empty_if_null(repaired_utf8(F.col("item.description"))).alias("description"),
-            flexible_number(F.col("item.drug_information.unit")).alias("drug_unit_of_measurement"),
-            null_if_empty(F.col("item.drug_information.type")).alias("drug_type_of_measurement"),
+            "description",
+            "drug_unit_of_measurement",
+            "drug_type_of_measurement",
             *CODE_COLUMNS.values(),
-            empty_if_null(repaired_utf8(F.col("charge.setting"))).alias("setting"),
-            F.coalesce(
-                F.col("charge.gross_charge"), flexible_number(F.col("charge.gross_charges"))
-            ).alias("gross_charge"),
-            F.col("charge.discounted_cash").alias("discounted_cash"),
-            F.col("charge.minimum").alias("min_charge"),
-            F.col("charge.maximum").alias("max_charge"),
-            joined_modifiers(F.col("charge.modifier_code")).alias("modifiers"),
-            repaired_utf8(F.col("charge.additional_generic_notes")).alias(
-                "additional_generic_notes"
-            ),
+            "setting",
+            "gross_charge",
+            "discounted_cash",
+            "min_charge",
+            "max_charge",
+            "modifiers",
+            "additional_generic_notes",
             payer_text("payer_name").alias("payer_name"),
             payer_text("plan_name").alias("plan_name"),
             F.col("payer.standard_charge_dollar").alias("negotiated_dollar"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ratelantern.fixed_values import MATCH_WEIGHTS
 from ratelantern.functions.clean import null_if_empty
 from ratelantern.functions.predicates import hios_state
+from ratelantern.operators.star import hash_id
 
 INDEX_COLUMNS = [
     "plan_id_type",
@@ -276,6 +277,12 @@ def find_plans(
     blocks = F.when(
         F.col("in_ein").isNotNull(), F.array(F.col("in_state"), F.lit(_ANY_STATE))
     ).otherwise(F.array("in_state"))
+    # Equal questions are answered once, however many inputs ask them.
+    asked = asked.withColumn(
+        "profile", hash_id(*[F.col(c) for c in asked.columns if c != "input_id"])
+    )
+    askers = asked.select("input_id", "profile")
+    asked = asked.drop("input_id").distinct()
     asked = asked.withColumn("block", F.explode(blocks)).drop("in_state")
 
     # Which names and issuers of the index each input name and issuer agrees with.
@@ -318,7 +325,7 @@ def find_plans(
     w = config.weights
     # A candidate can come up through several combinations; the one with most agreement says
     # which of its attributes agree.
-    agreed = candidates.groupBy("input_id", "plan_id_type", "plan_id").agg(
+    agreed = candidates.groupBy("profile", "plan_id_type", "plan_id").agg(
         *[F.first(c).alias(c) for c in INDEX_COLUMNS if c not in ("plan_id_type", "plan_id")],
         F.first("in_name").alias("in_name"),
         F.first("k_name").alias("k_name"),
@@ -356,13 +363,14 @@ def find_plans(
         )
     )
     scored = agreed.select(
-        "input_id",
+        "profile",
         *INDEX_COLUMNS,
         F.least(F.lit(100.0), total).alias("match_score"),
         F.when(exact, "exact").when(fuzzy, "fuzzy").otherwise("partial").alias("match_type"),
         reasons.alias("match_details"),
     ).where(F.col("match_score") >= config.min_score)
-    order = Window.partitionBy("input_id").orderBy(F.desc("match_score"), "plan_id", "plan_id_type")
-    return scored.withColumn("rank", F.row_number().over(order)).where(
+    order = Window.partitionBy("profile").orderBy(F.desc("match_score"), "plan_id", "plan_id_type")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= config.max_results
     )
+    return askers.join(best, "profile").drop("profile")

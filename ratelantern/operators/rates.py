@@ -123,12 +123,29 @@ def _contained_codes_json(codes: Column) -> Column:
 
 
 def _rate_groups(items: DataFrame) -> DataFrame:
-    """One row per negotiated rate, still holding its prices and group ids."""
-    rated = items.select(
-        "*", F.posexplode("item.negotiated_rates").alias("rate_ord", "rate")
+    """One row per negotiated rate: fields of its item, its prices and its group ids.
+
+    What later rows need is taken out of the nested item and rate first, so unfolding never
+    copies the whole item onto each of its rates.
+    """
+    header = [F.coalesce(f, F.lit("")).alias(f) for f in RATE_HEADER_REQUIRED]
+    flat = items.select(
+        "source_file",
+        "item_ord",
+        *header,
+        *RATE_HEADER_OPTIONAL,
+        *[empty_if_null(F.col("item")[f]).alias(f) for f in ITEM_FIELDS],
+        _contained_codes_json(F.col("item.bundled_codes")).alias("bundled_codes_json"),
+        _contained_codes_json(F.col("item.covered_services")).alias("covered_services_json"),
+        F.col("item.negotiated_rates").alias("_rates"),
     )
-    return rated.withColumn(
-        "is_embedded", F.coalesce(F.size("rate.provider_groups") > 0, F.lit(False))
+    carried = [c for c in flat.columns if c != "_rates"]
+    return flat.select(*carried, F.posexplode("_rates").alias("rate_ord", "_rate")).select(
+        *carried,
+        "rate_ord",
+        F.coalesce(F.size("_rate.provider_groups") > 0, F.lit(False)).alias("is_embedded"),
+        F.col("_rate.provider_references").alias("provider_references"),
+        F.col("_rate.negotiated_prices").alias("negotiated_prices"),
     )
 
 
@@ -150,7 +167,7 @@ def _filtered_ids(items: DataFrame, surviving: DataFrame) -> DataFrame:
         .select(
             *RATE_KEY,
             F.lit(REFERENCED).alias("group_kind"),
-            F.posexplode("rate.provider_references").alias("position", "provider_group_id"),
+            F.posexplode("provider_references").alias("position", "provider_group_id"),
         )
     )
     embedded = embedded_groups(items).select(
@@ -179,7 +196,7 @@ def rates(
         rated = groups.join(_filtered_ids(items, surviving), RATE_KEY)
     else:
         referenced = groups.where(~F.col("is_embedded")).withColumn(
-            "provider_group_ids", F.col("rate.provider_references")
+            "provider_group_ids", F.col("provider_references")
         )
         embedded_ids = _kept_ids(
             embedded_groups(items)
@@ -189,26 +206,36 @@ def rates(
         embedded = groups.where("is_embedded").join(embedded_ids, RATE_KEY, "left")
         rated = referenced.unionByName(embedded)
 
-    priced = rated.withColumn(
-        "group_kind", F.when(F.col("is_embedded"), EMBEDDED).otherwise(REFERENCED)
-    ).select("*", F.posexplode("rate.negotiated_prices").alias("price_ord", "price"))
+    carried = [
+        *RATE_KEY,
+        *RATE_HEADER_REQUIRED,
+        *RATE_HEADER_OPTIONAL,
+        *ITEM_FIELDS,
+        F.when(F.col("is_embedded"), EMBEDDED).otherwise(REFERENCED).alias("group_kind"),
+        F.when(F.size("provider_group_ids") > 0, F.col("provider_group_ids")).alias(
+            "provider_group_ids"
+        ),
+        "bundled_codes_json",
+        "covered_services_json",
+    ]
+    priced = rated.select(
+        *carried, F.posexplode("negotiated_prices").alias("price_ord", "price")
+    )
     return priced.select(
         *RATE_KEY,
         "price_ord",
-        *[empty_if_null(F.col(f)).alias(f) for f in RATE_HEADER_REQUIRED],
+        *RATE_HEADER_REQUIRED,
         *RATE_HEADER_OPTIONAL,
-        *[empty_if_null(F.col("item")[f]).alias(f) for f in ITEM_FIELDS],
+        *ITEM_FIELDS,
         F.coalesce("price.negotiated_rate", F.lit(0.0)).alias("negotiated_rate"),
         *[empty_if_null(F.col("price")[f]).alias(f) for f in PRICE_FIELDS],
         F.col("price.service_code").alias("service_code"),
         F.col("price.billing_code_modifier").alias("billing_code_modifier"),
         null_if_empty(F.col("price.additional_information")).alias("additional_information"),
         "group_kind",
-        F.when(F.size("provider_group_ids") > 0, F.col("provider_group_ids")).alias(
-            "provider_group_ids"
-        ),
-        _contained_codes_json(F.col("item.bundled_codes")).alias("bundled_codes_json"),
-        _contained_codes_json(F.col("item.covered_services")).alias("covered_services_json"),
+        "provider_group_ids",
+        "bundled_codes_json",
+        "covered_services_json",
     )
 
 

@@ -9,6 +9,14 @@ from ratelantern.functions.predicates import search_conditions
 Star = dict[str, DataFrame]
 
 
+def _linked(star: Star, codes: DataFrame, items: DataFrame) -> DataFrame:
+    return (
+        star["item_codes"]
+        .join(codes, "code_id")
+        .join(items.select("item_id", "hospital_id", "description"), "item_id")
+    )
+
+
 def described_codes(star: Star, code: str | None = None, code_type: str | None = None) -> DataFrame:
     """codes x items: (code_id, code, code_type, item_id, hospital_id, description)."""
     codes = star["codes"]
@@ -16,8 +24,7 @@ def described_codes(star: Star, code: str | None = None, code_type: str | None =
         codes = codes.where(F.col("code") == code)
     if code_type is not None:
         codes = codes.where(F.col("code_type") == code_type)
-    items = star["standard_charge_items"].select("item_id", "hospital_id", "description")
-    return star["item_codes"].join(codes, "code_id").join(items, "item_id")
+    return _linked(star, codes, star["standard_charge_items"])
 
 
 def search(star: Star, text: str, limit: int | None = 20, wildcards: bool = False) -> DataFrame:
@@ -25,13 +32,17 @@ def search(star: Star, text: str, limit: int | None = 20, wildcards: bool = Fals
 
     Code matches come first. ``limit=None`` returns all hits in order.
     """
-    is_prefix, is_hit = search_conditions(
+    is_prefix, in_description = search_conditions(
         F.col("code"), F.col("description"), text, wildcards
     )
+    # Either condition concerns one table. Searched on their own, each filters its table
+    # before any join; the distinct count does not mind rows found both ways.
+    codes, items = star["codes"], star["standard_charge_items"]
+    found = _linked(star, codes.where(is_prefix), items).unionByName(
+        _linked(star, codes, items.where(in_description))
+    )
     hits = (
-        described_codes(star)
-        .where(is_hit)
-        .groupBy("code", "code_type", "description")
+        found.groupBy("code", "code_type", "description")
         .agg(F.count_distinct("hospital_id").alias("hospital_count"))
         .orderBy(F.when(is_prefix, 0).otherwise(1), "code", "code_type", "description")
     )

@@ -73,7 +73,7 @@ def test_best_plans_equal_scoring_all_pairs(spark):
          rng.choice(["gold", "Bronze", None]), rng.choice(["hmo", None]), None, rng.choice([None, "12-0000024"]))
         for n in range(40)
     ]
-    inputs += [(100, "The Alias", "x", "NY", None, None, "Acme Corp", None)]
+    inputs += [(n, "The Alias", "x", state, None, None, "Acme Corp", None) for n, state in enumerate(["NY", "CA", "NY"], 100)]
     aliases = spark.createDataFrame([("10001", "the alias"), ("10002", "The  Alias!")], "issuer_id string, alias string")
     employers = spark.createDataFrame([("ACME corp.", "12-0000036")], "employer_name string, ein string")
     config = matching.MatchConfig(max_results=4, min_score=20.0)
