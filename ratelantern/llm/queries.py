@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelantern.llm import pfair, splitters, token_transducer
+from ratelantern.llm import language_id, pfair, sentencepieces, splitters, token_transducer
 
 #: Target shares of sources; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
@@ -25,6 +25,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.in_slot_order(mix)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_mix_sources": op4_mix_sources,
+    "op6_language_id": op6_language_id,
+    "op8_sentencepieces": op8_sentencepieces,
     "op10_shards": op10_shards,
 }
