@@ -34,3 +34,48 @@ SELECT doc_id, source, placed.w::BIGINT AS weight, block, (block // placed.w) *
        (block * q) // placed.w AS release, ((block + 1) * q + placed.w - 1) // placed.w AS deadline
 FROM placed, listed JOIN period ON period.j = placed.j AND period.k = block % placed.w
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH listed AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM listed)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM windows WHERE nth > 1
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM listed
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM listed LEFT JOIN kept USING (doc_id)
+"""
+
+# Pairs share a shingle, so counting shared shingles finds all of them.
+ORACLES["op9_near_duplicates"] = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS s
+  FROM listed
+), sizes AS (
+  SELECT doc_id, count(s) AS n FROM listed LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))
+), reach(id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.id, CASE WHEN l.a = reach.other THEN l.b ELSE l.a END FROM reach JOIN links l ON reach.other IN (l.a, l.b)
+)
+SELECT doc_id, n AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
+FROM sizes JOIN (SELECT id, min(other) AS least_id FROM reach GROUP BY id) ON id = doc_id
+"""

@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ratelantern.llm import language_id, pfair, sentencepieces, splitters, token_transducer
+from ratelantern.llm import bayes_minhash, language_id, pfair, recompression, sentencepieces, splitters, token_transducer
 
 #: Target shares of sources; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
@@ -29,10 +30,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.without_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"))
 
@@ -41,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepieces": op8_sentencepieces,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_shards": op10_shards,
 }
