@@ -240,19 +240,32 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
         first = np.ones(len(hash_), dtype=bool)
         first[1:] = (hash_[1:] != hash_[:-1]) | (tag[1:] != tag[:-1])
         ids, start = ids[first], start[first]
+        # On to the tasks that gather by document.
+        part = (mixed(ids.view(np.uint64), 9) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        used = [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        return pd.DataFrame({"part": [p for p, _ in used], "id": [ids[r].tobytes() for _, r in used], "start": [start[r].tobytes() for _, r in used]})
+
+    def by_document(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, start = np.frombuffer(b"".join(rows["id"]), dtype=np.int64), np.frombuffer(b"".join(rows["start"]), dtype=np.int32)
         order = np.argsort(ids, kind="stable")
         ids, start = ids[order], start[order]
-        bounds = np.concatenate((np.nonzero(np.diff(ids, prepend=ids[0] - 1 if len(ids) else 0) != 0)[0], [len(ids)]))
-        return pd.DataFrame({"id": ids[bounds[:-1]], "starts": [start[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = ids[1:] != ids[:-1]
+        bounds = [*np.nonzero(new)[0].tolist(), len(ids)]
+        return pd.DataFrame({"doc_id": ids[bounds[:-1]], "starts": [start[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]})
 
     places = write_stage(
         base.mapInArrow(candidates, "part int, hash binary, tag binary, id binary, start binary")
         .repartition(parts, "part")
         .groupBy("part")
-        .applyInPandas(firsts, "id long, starts binary"),
+        .applyInPandas(firsts, "part int, id binary, start binary")
+        .repartition(parts, "part")
+        .groupBy("part")
+        .applyInPandas(by_document, "doc_id long, starts binary"),
         "repeat-places",
     )
-    by_doc = places.groupBy("id").agg(F.collect_list("starts").alias("starts"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches):
@@ -265,7 +278,7 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
                 gone = np.zeros(0, dtype=bool)
                 if len(own):
                     repeat = np.ones(len(words), dtype=bool)
-                    repeat[np.frombuffer(b"".join(starts or []), dtype=np.int32)] = False
+                    repeat[np.frombuffer(starts or b"", dtype=np.int32)] = False
                     own = own[repeat[own]]
                 if len(own):
                     change = np.zeros(len(words) + 1, dtype=np.int32)
@@ -286,7 +299,7 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
             )
 
     return (
-        base.join(by_doc.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        base.join(places, "doc_id", "left")
         .select("doc_id", "text", "starts")
         .mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
         .withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
