@@ -33,7 +33,7 @@ from ratelantern.session import write_stage
 
 BATCH = 32
 #: Members of a block in which unresolved pairs are compared.
-BLOCK = 512
+BLOCK = 2048
 #: Ids are broadcast up to this number (8 bytes each) and joined by shuffle beyond it.
 BROADCAST_IDS = 4_000_000
 _names = WordNames()
@@ -91,6 +91,16 @@ def survivors(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np
     return rows
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 x common >= percent x union, for sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _matrix(column: pd.Series, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, size)
 
@@ -166,33 +176,29 @@ def near_duplicates(
             made = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["class", "set"])
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among candidate pairs, by the full sets of the classes concerned."""
-        pairs = write_stage(pairs, f"near-survivors-{name}")
-        needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        needed = write_stage(needed, f"near-needed-{name}")
+    def sets_of(needed: DataFrame, name: str) -> DataFrame:
+        """Sets of the classes named in column doc_id."""
+        needed = write_stage(needed.distinct(), f"near-needed-{name}")
         if needed.count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
         sets = base.join(needed, "doc_id", "left_semi").mapInArrow(make_sets, "class long, set binary")
-        sets = write_stage(sets.dropDuplicates(["class"]), f"near-sets-{name}")
+        return write_stage(sets.dropDuplicates(["class"]), f"near-sets-{name}")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs, by the full sets of the classes concerned."""
+        pairs = write_stage(pairs, "near-survivors")
+        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), "1")
         joined = pairs.join(sets.withColumnsRenamed({"class": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"class": "b", "set": "sb"}), "b")
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                keep = []
-                for sa, sb in zip(batch["sa"], batch["sb"], strict=True):
-                    a, b = np.frombuffer(sa, dtype=np.uint64), np.frombuffer(sb, dtype=np.uint64)
-                    if len(a) > len(b):
-                        a, b = b, a
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    common = int((b[at] == a).sum())
-                    keep.append(100 * common >= percent * (len(a) + len(b) - common))
-                yield batch.loc[keep, ["a", "b"]]
-
-        return write_stage(joined.mapInPandas(compare, "a long, b long"), f"near-links-{name}")
+                sets_a, sets_b = ([np.frombuffer(x, dtype=np.uint64) for x in batch[c]] for c in ("sa", "sb"))
+                yield batch.loc[[linked(x, y, percent) for x, y in zip(sets_a, sets_b, strict=True)], ["a", "b"]]
+
+        return write_stage(joined.mapInPandas(compare, "a long, b long"), "near-links-1")
 
     first = members.where("class > least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
-    links = verified(by_signature(first), "1")
+    links = verified(by_signature(first))
     found = components(links)
 
     # What is left: members of a bucket in different components, in blocks.
@@ -208,21 +214,39 @@ def near_duplicates(
         .join(classes.select("class", "signature"), "class")
     )
 
-    def cross(rows_: pd.DataFrame) -> pd.DataFrame:
+    def open_pairs(rows_: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of the low block with the members of the high one that its signature does not rule out."""
         signs = _matrix(rows_["signature"], size)
         own_, ids, comp = (rows_[c].to_numpy() for c in ("own", "class", "component"))
         lo, hi = rows_["lo"].iloc[0], rows_["hi"].iloc[0]
-        kept = []
-        for i in np.nonzero(own_ == lo)[0]:
+        for i in np.nonzero(own_ == lo)[0].tolist():
             others = np.nonzero((own_ == hi) & (comp != comp[i]) & ((ids > ids[i]) if lo == hi else True))[0]
             if len(others):
-                rows_left = survivors(np.broadcast_to(signs[i], (len(others), size)), signs[others], bounds)
-                kept += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in others[rows_left]]
-        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
-
-    more = unresolved.groupBy("band", "lo", "hi").applyInPandas(cross, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(more, "2")
-    links = links.unionByName(more)
+                kept = others[survivors(np.broadcast_to(signs[i], (len(others), size)), signs[others], bounds)]
+                if len(kept):
+                    yield i, kept
+
+    def concerned(rows_: pd.DataFrame) -> pd.DataFrame:
+        found = {k for i, kept in open_pairs(rows_) for k in (i, *kept.tolist())}
+        return pd.DataFrame({"doc_id": rows_["class"].to_numpy()[sorted(found)]})
+
+    def resolve(rows_: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components; pairs that links of this block have joined already are passed over."""
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows_["set"]]
+        ids, comp = rows_["class"].to_numpy(), rows_["component"].to_numpy().copy()
+        made = []
+        for i, kept in open_pairs(rows_):
+            for j in kept.tolist():
+                if comp[i] != comp[j] and linked(sets[i], sets[j], percent):
+                    comp[comp == comp[j]] = comp[i]
+                    made.append((ids[i], ids[j]))
+        return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
+
+    unresolved = write_stage(unresolved, "near-unresolved")
+    block = ("band", "lo", "hi")
+    sets = sets_of(unresolved.groupBy(*block).applyInPandas(concerned, "doc_id long"), "2")
+    more = unresolved.join(sets, "class").groupBy(*block).applyInPandas(resolve, "a long, b long")
+    links = links.unionByName(write_stage(more, "near-links-2"))
     found = components(links)
     return (
         profiles.select("doc_id", "n_shingles", "content")
