@@ -79,3 +79,23 @@ WITH RECURSIVE listed AS (
 SELECT doc_id, n AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
 FROM sizes JOIN (SELECT id, min(other) AS least_id FROM reach GROUP BY id) ON id = doc_id
 """
+
+ORACLES["op5_embedding_near_duplicates"] = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), degree AS (
+  SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id
+), reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.id, CASE WHEN l.a = reach.other THEN l.b ELSE l.a END FROM reach JOIN links l ON reach.other IN (l.a, l.b)
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least_id AS component_id, e.vec_id = least_id AS kept
+FROM embeddings e LEFT JOIN degree ON degree.id = e.vec_id
+JOIN (SELECT id, min(other) AS least_id FROM reach GROUP BY id) r ON r.id = e.vec_id
+"""

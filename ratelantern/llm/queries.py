@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelantern.llm import bayes_minhash, language_id, pfair, recompression, sentencepieces, splitters, token_transducer
+from ratelantern.llm import bayes_minhash, context_mixing, language_id, multi_index, permutation_index, pfair, recompression, sentencepieces, splitters, token_transducer
 
 #: Target shares of sources; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
@@ -17,10 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = pfair.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS, 1, MIX_BLOCK_DOCS)
     return pfair.in_slot_order(mix)
@@ -49,8 +62,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
+    "op3_context_mixing": op3_context_mixing,
     "op4_mix_sources": op4_mix_sources,
+    "op5_embedding_near_duplicates": op5_embedding_near_duplicates,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepieces": op8_sentencepieces,
