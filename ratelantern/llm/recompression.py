@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelantern.llm.common import pieces_for, text_bytes
 from ratelantern.llm.rolling import BASE, OTHER_BASE, WordNames, mixed, prefix_hashes, span_hashes, words_of
@@ -164,10 +165,16 @@ def _candidates(windows: Windows, filter_: Filter, segments: np.ndarray) -> np.n
     return np.nonzero((windows.mark == 0) | filter_.passes(segments, windows.mark))[0]
 
 
-def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (kept words joined by one space; null stays null) of each row."""
+def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_bytes: int = 32 << 20, keep_columns: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (kept words joined by one space; null stays null) of each row.
+
+    ``keep_columns``: all columns of ``docs`` and n_words, n_removed, kept_text, which replace columns of these names.
+    """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    added = ("n_words", "n_removed", "kept_text")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    base = docs.select(id_, "text")
+    whole = docs.select(id_, *(c for c in docs.columns if c not in ("doc_id", "starts", *added))) if keep_columns else base
     size = text_bytes(base)
     parts = pieces_for(size, part_bytes)
     # About 16 bits for each mark of a text without repeats, within the bound.
@@ -267,6 +274,9 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
         "repeat-places",
     )
 
+    types = (T.LongType(), T.LongType(), T.StringType())
+    schema = T.StructType([*whole.schema.fields, *(T.StructField(c, t) for c, t in zip(added, types, strict=True))])
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches):
             windows = Windows(batch.column("text").to_pylist(), window, rounds)
@@ -290,17 +300,18 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
                 kept.append(b" ".join(left).decode() if text.is_valid else None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in whole.columns),
                     pa.array([len(w) for w in windows.words], pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(kept, pa.string()),
                 ],
-                ["doc_id", "n_words", "n_removed", "kept_text"],
+                [*whole.columns, *added],
             )
 
     return (
-        base.join(places, "doc_id", "left")
-        .select("doc_id", "text", "starts")
-        .mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+        whole.join(places, "doc_id", "left")
+        .select(*whole.columns, "starts")
+        .mapInArrow(keep, schema)
         .withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+        .select(*(whole.columns if keep_columns else ["doc_id"]), *added)
     )
