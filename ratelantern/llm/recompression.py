@@ -277,6 +277,8 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
     types = (T.LongType(), T.LongType(), T.StringType())
     schema = T.StructType([*whole.schema.fields, *(T.StructField(c, t) for c, t in zip(added, types, strict=True))])
 
+    names = list(whole.columns)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches):
             windows = Windows(batch.column("text").to_pylist(), window, rounds)
@@ -300,12 +302,12 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
                 kept.append(b" ".join(left).decode() if text.is_valid else None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in whole.columns),
+                    *(batch.column(c) for c in names),
                     pa.array([len(w) for w in windows.words], pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(kept, pa.string()),
                 ],
-                [*whole.columns, *added],
+                [*names, *added],
             )
 
     return (
