@@ -10,7 +10,7 @@ one period is the only sequential step, its size is given by the weights alone,
 block of any later period goes is arithmetic.
 
 Blocks are hash buckets of a source, about ``block_docs`` documents each, so that placing a
-document needs no numbering and no shuffle of texts.
+document needs no numbering and no shuffle of texts (a bucket without documents leaves its slot empty).
 
 * Nothing is dropped: a source that has run out leaves its slots empty, and the others go on.
 * A null source is a source of its own. Ids that are null hash as empty text.
