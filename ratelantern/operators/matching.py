@@ -43,6 +43,11 @@ class MatchConfig:
     max_results: int = 10
     similarity: float = 0.5
 
+    def __post_init__(self) -> None:
+        # Keeping the first plans of a class loses nothing only if no weight counts against a plan.
+        if min(self.weights.values(), default=0) < 0:
+            raise ValueError("weights must not be negative")
+
 
 # --- index ---------------------------------------------------------------------------------
 
@@ -173,7 +178,9 @@ def similar_names(
             F.count("*").over(by_name).alias("n"),
         )
 
-    in_prefix = F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1
+    # Products such as 25 x 0.56 come out a little above the whole number they stand for.
+    needed = F.ceil(F.col("n") * similarity - 1e-9)
+    in_prefix = F.col("place") <= F.col("n") - needed + 1
     left_words, right_words = rarest(left, "input_name"), rarest(right, "plan_name")
     on = [*block, "word"]
     left_all, right_all = left_words.drop("place", "n"), right_words.drop("place", "n")

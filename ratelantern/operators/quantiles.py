@@ -125,7 +125,10 @@ def _histogram_quantiles(
     def interpolated(name: str, p: float) -> Column:
         position = (F.first("n_values") - 1) * F.lit(p)
         low, high = at(name, "low"), at(name, "high")
-        return low + (high - low) * (position - F.floor(position))
+        # The weighted form that percentile() uses for small groups, so that both agree to the last bit.
+        part = position - F.floor(position)
+        weighted = (F.ceil(position) - position) * low + part * high
+        return F.when((part == 0) | (low == high), low).otherwise(weighted)
 
     return hits.groupBy(*keys).agg(
         F.first("n_values").alias("n_values"),

@@ -50,8 +50,8 @@ def search(star: Star, text: str, limit: int | None = 20, wildcards: bool = Fals
 
 
 def code_exists(star: Star, code: str, code_type: str) -> DataFrame:
-    found = F.count_if((F.col("code") == code) & (F.col("code_type") == code_type)) > 0
-    return star["codes"].agg(found.alias("exists"))
+    found = star["codes"].where((F.col("code") == code) & (F.col("code_type") == code_type))
+    return found.limit(1).agg((F.count("*") > 0).alias("exists"))
 
 
 def service_info(star: Star, code: str, code_type: str | None = None) -> DataFrame:

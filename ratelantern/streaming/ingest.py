@@ -6,7 +6,6 @@ own number and overwrites it when repeated, so a batch that fails halfway and ru
 leaves no duplicates.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,10 +30,10 @@ def read_star(spark: SparkSession, star_path: str) -> dict[str, DataFrame]:
 
 
 def _earlier_keys(spark: SparkSession, path: str, key: str, batch: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < batch).select(key)
-    except AnalysisException:  # nothing loaded yet
-        return None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None  # nothing loaded yet
+    return spark.read.parquet(path).where(F.col("batch") < batch).select(key)
 
 
 def load_new_files(
