@@ -158,6 +158,19 @@ def csv_charges(records: DataFrame) -> DataFrame:
 # --- JSON ------------------------------------------------------------------------------------
 
 
+def _packed_order(item: str, charge: str, payer: str) -> Column:
+    """27 bits of item and 18 each of charge and payer; positions that do not fit are an error."""
+    payer_ord = F.coalesce(F.col(payer), F.lit(0))
+    fits = (F.col(item) < 1 << 27) & (F.col(charge) < 1 << 18) & (payer_ord < 1 << 18)
+    packed = (
+        F.shiftleft(F.col(item).cast("bigint"), 36)
+        + F.shiftleft(F.col(charge).cast("bigint"), 18)
+        + payer_ord
+    )
+    too_many = F.raise_error(F.lit("more items, charges or payers than row_ord can hold"))
+    return F.when(~fits, too_many.cast("bigint")).otherwise(packed)
+
+
 def json_charges(items: DataFrame) -> DataFrame:
     """Items of version 2 or 3 documents -> item x standard charge x payer.
 
@@ -214,11 +227,7 @@ def json_charges(items: DataFrame) -> DataFrame:
         per_payer.select(
             "source_file",
             # Items are in file order; charges and payers keep their order within the item.
-            (
-                F.shiftleft(F.col("item_ord").cast("bigint"), 36)
-                + F.shiftleft(F.col("_charge_ord").cast("bigint"), 18)
-                + F.coalesce(F.col("_payer_ord"), F.lit(0))
-            ).alias("row_ord"),
+            _packed_order("item_ord", "_charge_ord", "_payer_ord").alias("row_ord"),
             F.shiftright("item_ord", 10).cast("bigint").alias("row_chunk"),
             *[F.col("meta")[c].alias(c) for c in META_COLUMNS[:8]],
             F.col("meta.npis").alias("npis"),

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from ratelantern.operators.charges import _packed_order
 from ratelantern.operators.matching import MatchConfig
 from ratelantern.operators.quantiles import exact_quantiles
 
@@ -21,3 +22,12 @@ def test_quantiles_agree_for_all_group_sizes(spark):
 def test_negative_weights_are_refused():
     with pytest.raises(ValueError):
         MatchConfig(weights={"issuer": -1.0})
+
+
+@pytest.mark.parametrize("position", [(1 << 27, 0, 0), (0, 1 << 18, 0), (0, 0, 1 << 18)])
+def test_positions_beyond_the_packed_order_fail(spark, position):
+    packed = _packed_order("item", "charge", "payer")
+    fits = spark.createDataFrame([(1, 2, None), (1, 2, 3)], "item long, charge int, payer int").select(packed)
+    assert [r[0] for r in fits.collect()] == [(1 << 36) + (2 << 18), (1 << 36) + (2 << 18) + 3]
+    with pytest.raises(Exception, match="more items"):
+        spark.createDataFrame([position], "item long, charge int, payer int").select(packed).collect()
