@@ -210,8 +210,8 @@ def without_repeats(docs: DataFrame, window: int = 20, rounds: int = 2, part_byt
 
     dealt = base.mapInArrow(marks, "part int, marks binary, again binary").repartition(parts, "part")
     segments = np.zeros((parts, bits // 8), dtype=np.uint8)
-    # One bit segment per part, FILTER_BYTES at most in all.
-    for row in dealt.groupBy("part").applyInPandas(repeated, "part int, segment binary").toLocalIterator():
+    # One bit segment per part, FILTER_BYTES at most in all; collect() runs the parts together, an iterator one after the other.
+    for row in dealt.groupBy("part").applyInPandas(repeated, "part int, segment binary").collect():
         segments[row["part"]] = np.frombuffer(row["segment"], dtype=np.uint8)
     sent = spark.sparkContext.broadcast(segments.reshape(-1))
 
