@@ -36,9 +36,3 @@ def write(tmp_path):
         return str(path)
 
     return _write
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=repr)

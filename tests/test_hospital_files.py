@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from ratelantern.operators.charges import conversion_stats, csv_charges, json_charges
 from ratelantern.operators import quality

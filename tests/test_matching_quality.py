@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from ratelantern.operators import matching, quality

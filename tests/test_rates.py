@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from ratelantern.operators import rates
 from ratelantern.sinks.writers import write_rates

@@ -2,7 +2,7 @@ import gzip
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from ratelantern.functions.predicates import PlanFilter, plan_description, plan_matches
