@@ -99,3 +99,78 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least_id AS component_id, e.
 FROM embeddings e LEFT JOIN degree ON degree.id = e.vec_id
 JOIN (SELECT id, min(other) AS least_id FROM reach GROUP BY id) r ON r.id = e.vec_id
 """
+
+# crc32 by its eight steps a byte; nodes are lists of turns, subtrees all nodes that start with them.
+ORACLES["op11_prefix_trie"] = """
+WITH numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         {'r': coalesce(role, ''), 't': coalesce(text, '')} AS tt
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id AS c, list(tt ORDER BY pos) AS ts,
+         list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+           lambda s: [ord(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a % 2) * 3988292384) END) AS crc
+  FROM numbered GROUP BY conv_id
+), rebuilt AS (
+  SELECT a.c, list_concat(CASE WHEN b.c IS NULL OR h = 0 THEN [] ELSE b.ts[1:h] END, a.ts[h + 1:]) AS ts
+  FROM (SELECT *, xor(crc, 4294967295) % 9 AS h FROM convs) a LEFT JOIN convs b ON b.c = a.c - a.c % 5
+), placed AS (
+  SELECT c, d, ts[1:d] AS path, len(ts) = d AS ends, CASE WHEN d > 0 THEN strlen(ts[d].t) ELSE 0 END AS bytes
+  FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, path, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS digest
+  FROM placed GROUP BY d, path
+), families AS (
+  SELECT p.d, p.path, p.c, q.c AS parent FROM nodes p LEFT JOIN nodes q ON q.d = p.d - 1 AND q.path = p.path[1:p.d - 1]
+), children AS (
+  SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+), above AS (
+  SELECT x.d, x.path, x.n, x.bytes, coalesce(k.n, 0) AS kids, unnest(range(0, x.d + 1)) AS up
+  FROM nodes x LEFT JOIN children k ON k.d = x.d AND k.path = x.path
+), sums AS (
+  SELECT up AS d, path[1:up] AS path, sum((n - 1) * bytes) AS saved, count(*) FILTER (kids = 0) AS leaves FROM above GROUP BY 1, 2
+)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, f.parent AS parent_conv_id, x.n::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, x.digest AS ends_sha256
+FROM nodes x JOIN families f ON f.d = x.d AND f.path = x.path JOIN sums s ON s.d = x.d AND s.path = x.path
+LEFT JOIN children k ON k.d = x.d AND k.path = x.path
+"""
+
+# Every kept term of a language for every source of it, occurring or not.
+ORACLES["op13_divergence_audit"] = r"""
+WITH docs AS MATERIALIZED (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), terms AS MATERIALIZED (
+  SELECT lang, source, id, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), vocabulary AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), units AS (
+  SELECT DISTINCT lang, source FROM docs
+), grid AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+  FROM (SELECT u.lang, u.source, k.term, coalesce(c.n, 0) AS n, v FROM units u JOIN kept k USING (lang) JOIN vocabulary USING (lang)
+        LEFT JOIN counts c ON c.lang = u.lang AND c.source = u.source AND c.term = k.term)
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n, any_value(v) AS v FROM counts JOIN vocabulary USING (lang) GROUP BY lang, term)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM units a JOIN units b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM grid JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 10
+"""

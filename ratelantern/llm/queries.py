@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelantern.llm import bayes_minhash, context_mixing, language_id, multi_index, permutation_index, pfair, recompression, sentencepieces, splitters, token_transducer
+from ratelantern.llm import (
+    bayes_minhash,
+    context_mixing,
+    divergence_audit,
+    language_id,
+    multi_index,
+    permutation_index,
+    pfair,
+    prefix_trie,
+    recompression,
+    sentencepieces,
+    splitters,
+    token_transducer,
+)
 
 #: Target shares of sources; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
@@ -61,6 +74,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_counts": op2_token_counts,
@@ -72,4 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepieces": op8_sentencepieces,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_shards": op10_shards,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_divergence_audit": op13_divergence_audit,
 }
