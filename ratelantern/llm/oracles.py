@@ -174,3 +174,30 @@ SELECT lang, source, part, item, value, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
 WHERE part = 'pair' OR rank <= 10
 """
+
+# Strings of bytes as hexadecimal text.
+ORACLES["op12_suffix_dedup"] = """
+WITH hexed AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), named AS MATERIALIZED (
+  SELECT row, i, md5(h[2 * i + 1:2 * i + 400]) AS name FROM (SELECT row, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM hexed)
+), hits AS (
+  SELECT row, i FROM named WHERE name IN (SELECT name FROM named GROUP BY name HAVING count(*) > 1)
+), opened AS (
+  SELECT row, i, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 200 THEN 0 ELSE 1 END AS opens FROM hits
+), spans AS MATERIALIZED (
+  SELECT row, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT row, i, sum(opens) OVER (PARTITION BY row ORDER BY i) AS span FROM opened) GROUP BY row, span
+), gaps AS (
+  SELECT row, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL
+  SELECT row, max(b), any_value(length(h) // 2) FROM spans JOIN hexed USING (row) GROUP BY row
+), kept AS (
+  SELECT row, string_agg(h[2 * a + 1:2 * b], '' ORDER BY a) AS k FROM gaps JOIN hexed USING (row) WHERE b > a GROUP BY row
+), sums AS (
+  SELECT row, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY row
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM hexed LEFT JOIN sums USING (row) LEFT JOIN kept USING (row)
+"""

@@ -18,6 +18,7 @@ from ratelantern.llm import (
     recompression,
     sentencepieces,
     splitters,
+    suffix_dedup,
     token_transducer,
 )
 
@@ -78,6 +79,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.divergences(table(spark, sf_dir, "documents"))
 
@@ -94,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_shards": op10_shards,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_divergence_audit": op13_divergence_audit,
 }
