@@ -334,8 +334,11 @@ def without_repeats(
     )
     ranges = (
         pieces.select("k1", "k2", "start", "h1", "h2")
-        .distinct()
         .join(covered, ["h1", "h2"])
+        .select("k1", "k2", "start", "covered")
+        # One shuffle for both: copies of a text have sent their pieces from several tasks.
+        .repartition("k1", "k2")
+        .distinct()
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("start", "covered")).alias("ranges"))
     )
