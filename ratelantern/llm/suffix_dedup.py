@@ -40,13 +40,15 @@ from ratelantern.llm.suffix_array import occurring_again
 from ratelantern.session import write_stage
 
 #: About so many bytes of text are handled at once.
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 20
+#: A task deals out so many names of marks or windows at a time.
+NAMES_AT_ONCE = 1_000_000
 #: A task remembers so many texts and pieces; what it forgets it sends again.
 REMEMBERED = 1 << 20
 #: Half of a 64-bit word holds a place among the bytes handled at once.
 PLACE = np.uint64(0xFFFFFFFF)
 
-PIECES = "k1 long, k2 long, start int, part int, mark long, h1 long, h2 long, piece binary"
+PIECES = "k1 long, k2 long, start int, mark long, h1 long, h2 long, piece binary"
 COVERED = "h1 long, h2 long, covered binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -163,21 +165,29 @@ def _counted(texts: DataFrame, bits: Bits, names_of: Callable[[list[bytes]], np.
     parts = bits.parts
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
+        seen, held = Seen(), []
         for batch in _portions(batches):
-            found, counts = np.unique(names_of(_texts(batch, seen)[0]), return_counts=True)
-            part = bits.part(found)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-            used = [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p for p, _ in used], pa.int32()),
-                    pa.array([found[r].tobytes() for _, r in used], pa.binary()),
-                    pa.array([counts[r].astype(np.uint32).tobytes() for _, r in used], pa.binary()),
-                ],
-                ["part", "names", "counts"],
-            )
+            held.append(names_of(_texts(batch, seen)[0]))
+            if sum(map(len, held)) >= NAMES_AT_ONCE:
+                yield dealt_names(np.concatenate(held))
+                held = []
+        if held:
+            yield dealt_names(np.concatenate(held))
+
+    def dealt_names(all_names: np.ndarray) -> pa.RecordBatch:
+        found, counts = np.unique(all_names, return_counts=True)
+        part = bits.part(found)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+        used = [(p, order[a:b]) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([p for p, _ in used], pa.int32()),
+                pa.array([found[r].tobytes() for _, r in used], pa.binary()),
+                pa.array([counts[r].astype(np.uint32).tobytes() for _, r in used], pa.binary()),
+            ],
+            ["part", "names", "counts"],
+        )
 
     def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = np.frombuffer(b"".join(rows["names"]), dtype=np.uint64)
@@ -246,6 +256,7 @@ def without_repeats(
     gram: int = 64,
     hot: int = 10_000,
     part_bytes: int = 32 << 20,
+    shard_bytes: int = 8 << 20,
     portion_bytes: int = 1 << 20,
     filter_bytes: int = 64 << 20,
 ) -> DataFrame:
@@ -257,7 +268,7 @@ def without_repeats(
         {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(17), "text")}
     )
     size = text_bytes(base)
-    parts = pieces_for(size, part_bytes)
+    parts, shards = pieces_for(size, part_bytes), pieces_for(size, shard_bytes)
     # About 16 bits for each mark of a text without repeats, within the bound.
     per_part = max(64, min(size * 16 * 2 // (window - gram + 2), filter_bytes * 8) // parts // 8 * 8)
 
@@ -314,21 +325,20 @@ def without_repeats(
                     batch.column("k1").take(pa.array(row)),
                     batch.column("k2").take(pa.array(row)),
                     pa.array((start - runs.first[owner]).astype(np.int32)),
-                    pa.array(sent_marks.value.part(mark).astype(np.int32)),
                     pa.array(mark.view(np.int64)),
                     pa.array(hashes[:, 0]),
                     pa.array(hashes[:, 1]),
                     pa.array(pieces, pa.binary()),
                 ],
-                ["k1", "k2", "start", "part", "mark", "h1", "h2", "piece"],
+                ["k1", "k2", "start", "mark", "h1", "h2", "piece"],
             )
 
     pieces = write_stage(base.select("text", "k1", "k2").mapInArrow(cut, PIECES), "suffix-pieces")
     covered = write_stage(
         pieces.where("piece IS NOT NULL")
-        .select("part", "mark", "h1", "h2", "piece")
-        .repartition(parts, "part")
-        .groupBy("part")
+        .select("mark", "h1", "h2", "piece", F.pmod(F.xxhash64("mark"), F.lit(shards)).alias("shard"))
+        .repartition(shards, "shard")
+        .groupBy("shard")
         .applyInArrow(lambda table: shard_ranges(table, window, portion_bytes), COVERED),
         "suffix-covered",
     )
