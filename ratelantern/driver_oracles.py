@@ -392,6 +392,10 @@ ORACLES: dict[str, str] = {
     "code_search": f"""SELECT * FROM ({_SEARCH}) AS hits
 ORDER BY CASE WHEN code ILIKE 'ri%' THEN 0 ELSE 1 END, code, code_type, description LIMIT 20""",
     "code_search_all_hits": _SEARCH,
+    "code_search_index": _SEARCH.replace("'ri%'", "'l ring%'").replace("'%ri%'", "'%l ring%'"),
+    "hospital_code_info": f"""{_STAR} SELECT DISTINCT c.code, c.code_type, i.description
+FROM item_codes c JOIN items i USING (item_key) WHERE c.code = 'Brand#17' AND c.code_type = 'HCPCS'
+AND i.hospital_id = (SELECT md5(min('supplier-' || l_suppkey)) FROM lineitem) ORDER BY i.description LIMIT 1""",
     "code_exists": f"{_STAR} SELECT count(*) > 0 AS exists FROM codes WHERE code = 'Brand#17' AND code_type = 'HCPCS'",
     "service_info": f"""{_STAR} SELECT DISTINCT c.code, c.code_type, i.description
 FROM item_codes c JOIN items i USING (item_key) WHERE c.code = 'Brand#17'

@@ -4,6 +4,7 @@ Two things are written once per session and folder, as the real jobs write them:
 with the star built from them, and nested documents parsed from JSON. Queries start there.
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,14 @@ from ratelantern.operators import charges as charge_ops
 from ratelantern.operators import matching, profiles, quality, rates, star, toc
 from ratelantern.operators.ordered import mark_runs, row_chunk
 from ratelantern.plans import compare, detail, listings, search
-from ratelantern.session import write_stage
+from ratelantern.session import shared_folder, write_stage
+from ratelantern.sinks import gold
 from ratelantern.sources import hospital_json, in_network
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
+_gold_paths: dict[tuple[str, str, str], str] = {}
 NEW_YORK = PlanFilter(state="NY")
 
 
@@ -47,6 +50,17 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def gold_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The star with its laid-out tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, "gold")
+    star_ = star_tables(spark, sf_dir)
+    if key not in _gold_paths:
+        path = f"{shared_folder(spark)}/gold-{uuid.uuid4().hex}"
+        gold.write_gold(star_, path)
+        _gold_paths[key] = path
+    return star_ | gold.read_gold(spark, _gold_paths[key])
+
+
 def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage(spark, sf_dir, "structures", lambda: adapters.toc_structures(spark, sf_dir))
 
@@ -77,21 +91,33 @@ def _names(df: DataFrame) -> DataFrame:
 
 
 def price_compare(spark, sf_dir):
-    prices = compare.compare_prices(star_tables(spark, sf_dir), "Brand#17")
+    prices = compare.compare_prices(gold_tables(spark, sf_dir), "Brand#17")
     return _rounded(compare.by_price(prices), 6, "median_estimate")
 
 
 def price_compare_all_codes(spark, sf_dir):
-    prices = compare.compare_prices(star_tables(spark, sf_dir))
+    prices = compare.compare_prices(gold_tables(spark, sf_dir))
     return _rounded(prices, 6, "median_estimate")
 
 
 def code_search(spark, sf_dir):
-    return search.search(star_tables(spark, sf_dir), "ri")
+    return search.search(gold_tables(spark, sf_dir), "ri")
 
 
 def code_search_all_hits(spark, sf_dir):
-    return search.search(star_tables(spark, sf_dir), "ri", limit=None)
+    return search.search(gold_tables(spark, sf_dir), "ri", limit=None)
+
+
+def code_search_index(spark, sf_dir):
+    """A text of more than two characters, in other letters than it is stored: found by its rarest three."""
+    return search.search(gold_tables(spark, sf_dir), "L RING", limit=None)
+
+
+def hospital_code_info(spark, sf_dir):
+    """Descriptions of one code at one hospital, the first of them."""
+    tables = gold_tables(spark, sf_dir)
+    first = tables["hospitals"].orderBy("source_file").first()
+    return search.hospital_code_info(tables, first.hospital_id if first else "", "Brand#17", "HCPCS")
 
 
 def code_exists(spark, sf_dir):
@@ -99,11 +125,11 @@ def code_exists(spark, sf_dir):
 
 
 def service_info(spark, sf_dir):
-    return search.service_info(star_tables(spark, sf_dir), "Brand#17")
+    return search.service_info(gold_tables(spark, sf_dir), "Brand#17")
 
 
 def hospital_detail_percentiles(spark, sf_dir):
-    rows = detail.price_rows(star_tables(spark, sf_dir))
+    rows = detail.price_rows(gold_tables(spark, sf_dir))
     return _rounded(detail.payer_percentiles(rows), 6, *detail.PERCENTILES)
 
 
@@ -112,32 +138,32 @@ def hospital_flags(spark, sf_dir):
 
 
 def standard_charges_dedup(spark, sf_dir):
-    return _names(detail.standard_charge_list(detail.price_rows(star_tables(spark, sf_dir))))
+    return _names(detail.standard_charge_list(detail.price_rows(gold_tables(spark, sf_dir))))
 
 
 def payer_charge_details(spark, sf_dir):
-    rows = detail.payer_charge_list(detail.price_rows(star_tables(spark, sf_dir)))
+    rows = detail.payer_charge_list(detail.price_rows(gold_tables(spark, sf_dir)))
     return _names(rows).drop("median_amount", "percentile_10th", "percentile_90th", "count")
 
 
 def headline_price(spark, sf_dir):
-    return detail.headline_price(detail.price_rows(star_tables(spark, sf_dir)))
+    return detail.headline_price(detail.price_rows(gold_tables(spark, sf_dir)))
 
 
 def price_summary(spark, sf_dir):
-    prices = compare.best_prices(star_tables(spark, sf_dir))
+    prices = compare.best_prices(gold_tables(spark, sf_dir))
     return compare.price_summary(prices, "code", "code_type")
 
 
 def lowest_flag(spark, sf_dir):
-    prices = compare.best_prices(star_tables(spark, sf_dir))
+    prices = compare.best_prices(gold_tables(spark, sf_dir))
     return compare.flag_lowest(prices, "code", "code_type").select(
         "code", "code_type", "hospital_name", "display_price", "price_kind", "is_lowest"
     )
 
 
 def sort_by_median_nulls_last(spark, sf_dir):
-    prices = compare.compare_prices(star_tables(spark, sf_dir), "Brand#17")
+    prices = compare.compare_prices(gold_tables(spark, sf_dir), "Brand#17")
     ordered = compare.sorted_prices(prices, "median")
     return _rounded(ordered, 6, "median_estimate").select(
         "hospital_id", "discounted_cash", "gross_charge", "median_estimate"
@@ -302,11 +328,11 @@ def payer_details(spark, sf_dir):
 
 
 def item_drug_info(spark, sf_dir):
-    return listings.item_drug_info(star_tables(spark, sf_dir), "small ring")
+    return listings.item_drug_info(gold_tables(spark, sf_dir), "small ring")
 
 
 def item_notes(spark, sf_dir):
-    return listings.item_notes(star_tables(spark, sf_dir), "small ring")
+    return listings.item_notes(gold_tables(spark, sf_dir), "small ring")
 
 
 # --- tables of contents --------------------------------------------------------------------
@@ -572,7 +598,7 @@ QUERIES: dict[str, Query] = {
         query.__name__: query
         for query in (
             price_compare, price_compare_all_codes, code_search, code_search_all_hits,
-            code_exists, service_info, hospital_detail_percentiles, hospital_flags,
+            code_search_index, hospital_code_info, code_exists, service_info, hospital_detail_percentiles, hospital_flags,
             standard_charges_dedup, payer_charge_details, headline_price, price_summary,
             lowest_flag, sort_by_median_nulls_last, describe_codes, dim_codes, item_codes,
             items_by_key, charges_by_key, hospitals, payer_charges, items_adjacent, dim_upsert,

@@ -22,12 +22,20 @@ PRICE_COLUMNS = [
 ]
 
 
-def selected_charges(star: Star, code: str | None, code_type: str | None) -> DataFrame:
+def selected_charges(star: Star, code: str | None = None, code_type: str | None = None) -> DataFrame:
     """codes -> links -> items -> charges, LEFT payer charges, payers and plans.
 
+    With laid-out tables (``sinks.gold``) this is a filter on the one sorted by code.
+
     Codes are filtered first and everything else follows by equi-joins on ids; which sides are
     small enough to broadcast is left to the optimizer, hot ids to adaptive skew handling.
     """
+    if "code_prices" in star:
+        wanted = {name: value for name, value in (("code", code), ("code_type", code_type)) if value is not None}
+        rows = star["code_prices"].where("code is not null and code_type is not null and hospital_id is not null")
+        for name, value in wanted.items():
+            rows = rows.where(F.col(name) == value)
+        return rows
     # Never null in the star; saying so here keeps every use of the result the same to the
     # optimizer, so several uses in one query share their shuffles.
     codes = star["codes"].where("code is not null and code_type is not null")

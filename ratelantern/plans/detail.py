@@ -51,6 +51,9 @@ def price_rows(
     code_type: str | None = None,
 ) -> DataFrame:
     """Charges with their payer charges."""
+    if "code_prices" in star:
+        rows = selected_charges(star, code, code_type)
+        return rows if hospital_id is None else rows.where(F.col("hospital_id") == hospital_id)
     scoped = dict(star)
     if hospital_id is not None:
         scoped["standard_charge_items"] = star["standard_charge_items"].where(
