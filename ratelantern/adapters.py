@@ -94,6 +94,12 @@ def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_charge_files(rows: DataFrame, path: str, files: int = 8) -> None:
+    """Charge rows in so many files, and one file beside them that is no Parquet."""
+    rows.repartition(files).write.parquet(f"{path}/good")
+    rows.select(F.concat_ws(" ", "description", "source_file").alias("value")).limit(1000).coalesce(1).write.text(f"{path}/damaged")
+
+
 # --- tables of contents --------------------------------------------------------------------
 
 
@@ -334,9 +340,9 @@ def _dollars(c: Column) -> Column:
     return _text(" $", F.format_number(c, 2), " ")
 
 
-def tall_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tall_cells() -> list[Column]:
     odd = _remainder("l_linenumber", 2) == 1
-    cells = [
+    return [
         _text("  item ", F.col("l_partkey"), " "),
         F.when(F.col("l_returnflag") == "A", "inpatient").otherwise("outpatient"),
         F.col("l_partkey"),
@@ -351,12 +357,11 @@ def tall_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("fee schedule"),
         F.when(odd, "26|TC"),
     ]
-    return _csv_records(spark, sf_dir, _TALL_HEADER, cells)
 
 
-def wide_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _wide_cells() -> list[Column]:
     line = F.col("l_linenumber")
-    cells = [
+    return [
         F.col("l_partkey"),
         F.lit("HCPCS"),
         _text("item ", F.col("l_partkey")),
@@ -368,7 +373,47 @@ def wide_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(line % 3 == 0, F.col("l_quantity")),
         F.when(line == 7, " see notes "),
     ]
-    return _csv_records(spark, sf_dir, _WIDE_HEADER, cells)
+
+
+def tall_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _csv_records(spark, sf_dir, _TALL_HEADER, _tall_cells())
+
+
+def wide_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _csv_records(spark, sf_dir, _WIDE_HEADER, _wide_cells())
+
+
+def write_hospital_csvs(spark: SparkSession, sf_dir: str, path: str, files: int = 24) -> None:
+    """Line items as CSV files of hospitals, the even ones tall, the odd ones wide: ``path``/file=n/*.csv."""
+    width = max(len(_TALL_HEADER), len(_WIDE_HEADER))
+
+    def padded(cells: list[Column]) -> Column:
+        return F.array(*[c.cast("string") for c in cells], *[F.lit(None).cast("string")] * (width - len(cells)))
+
+    file, is_tall = F.col("l_suppkey") % files, F.col("l_suppkey") % 2 == 0
+    data = spread(table(spark, sf_dir, "lineitem")).select(
+        file.alias("file"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"),
+        F.when(is_tall, padded(_tall_cells())).otherwise(padded(_wide_cells())).alias("cells"),
+    )
+    n = F.col("file")
+    values = [_text("Hospital ", n), F.lit("7/1/2024"), F.lit("2.2.0"), F.lit("Main"), F.lit("1 Main St"), _text("L", n), F.lit("TRUE")]
+    names = [
+        padded([F.lit(c) for c in _META_NAMES]),
+        padded(values),
+        F.when(n % 2 == 0, padded([F.lit(c) for c in _TALL_HEADER])).otherwise(padded([F.lit(c) for c in _WIDE_HEADER])),
+    ]
+    headers = data.select("file").distinct().select("file", F.posexplode(F.array(*names)).alias("at", "cells"))
+    (
+        headers.withColumn("at", F.col("at") - 3)
+        .unionByName(data)
+        .repartition(files, "file")
+        .sortWithinPartitions("file", "at")
+        .select("file", *[F.col("cells")[i].alias(f"c{i}") for i in range(width)])
+        .write.partitionBy("file")
+        .options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(path)
+    )
 
 
 def hospital_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -386,7 +386,32 @@ _EXPLANATIONS = """CASE code_type
   WHEN 'HCPCS' THEN 'Codes for medical services supplies and equipment used for billing.'
   WHEN 'MS-DRG' THEN 'Medicare severity-adjusted DRG groups for inpatient hospital payment.' END"""
 
+# Records of the CSV files: payers of a tall file, filled groups of a wide one.
+_CSV_FILES = """
+WITH records AS (
+  SELECT l_suppkey % 24 AS file, l_suppkey % 2 = 0 AS is_tall, l_returnflag, l_linenumber,
+    l_suppkey % 2 = 0 AND l_linenumber % 4 <> 0 AS has_payer,
+    l_suppkey % 2 = 1 AND l_linenumber % 2 = 0 AS acme,
+    l_suppkey % 2 = 1 AND (l_linenumber % 3 = 0 OR l_linenumber = 7) AS beta
+  FROM lineitem
+), counted AS (
+  SELECT *, CASE WHEN is_tall THEN has_payer::INT ELSE acme::INT + beta::INT END AS payers FROM records
+)"""
+
 ORACLES: dict[str, str] = {
+    "csv_conversion_stats": f"""{_CSV_FILES}
+SELECT file, count(*) AS input_records, CAST(sum(CASE WHEN is_tall THEN 1 ELSE greatest(payers, 1) END) AS BIGINT) AS charge_rows,
+  CAST(sum(payers) AS BIGINT) AS payer_rows,
+  count(DISTINCT CASE WHEN has_payer THEN l_returnflag END) + bool_or(acme)::INT + bool_or(beta)::INT AS payer_plan_pairs
+FROM counted GROUP BY file""",
+    "dim_incremental": f"""{_STAR} SELECT CAST(batches AS INTEGER) AS batches, code, code_type FROM codes, (VALUES (1), (10)) AS loads(batches)""",
+    "load_ledger": f"""WITH {_CHARGES}
+SELECT outcome, files, CAST(CASE outcome WHEN 'loaded' THEN n ELSE 0 END AS BIGINT) AS rows_loaded, hospitals
+FROM (SELECT count(*) AS n, count(DISTINCT source_file) AS hospitals FROM charges), (VALUES ('loaded', 8), ('failed', 1)) AS outcomes(outcome, files)""",
+    "payer_charge_keys": f"""{_CSV_FILES}
+SELECT reading, CAST(sum(payers) AS BIGINT) AS payer_charges, CAST(sum(payers) AS BIGINT) AS ids, CAST(sum(payers) AS BIGINT) AS known
+FROM counted, (VALUES ('together'), ('split'), ('alone')) AS readings(reading)
+WHERE reading <> 'alone' OR file = 5 GROUP BY reading""",
     "price_compare": f"{_ONE_CODE} SELECT * FROM prices",
     "price_compare_all_codes": f"{_ALL_CODES} SELECT * FROM prices",
     "code_search": f"""SELECT * FROM ({_SEARCH}) AS hits

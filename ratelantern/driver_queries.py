@@ -6,6 +6,7 @@ with the star built from them, and nested documents parsed from JSON. Queries st
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,14 @@ from ratelantern.operators.ordered import mark_runs, row_chunk
 from ratelantern.plans import compare, detail, listings, search
 from ratelantern.session import shared_folder, write_stage
 from ratelantern.sinks import gold
-from ratelantern.sources import hospital_json, in_network
+from ratelantern.sources.charges import ledger_summary, load_directory
+from ratelantern.streaming import ingest
+from ratelantern.sources import hospital_csv, hospital_json, in_network
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
-_gold_paths: dict[tuple[str, str, str], str] = {}
+_paths: dict[tuple[str, str, str], str] = {}
 NEW_YORK = PlanFilter(state="NY")
 
 
@@ -36,6 +39,16 @@ def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return _staged[key]
 
 
+def _written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """A folder that is written once per session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _paths:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _paths[key] = path
+    return _paths[key]
+
+
 def charge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charge rows, stored together with the ids of their parents."""
     return _stage(
@@ -52,13 +65,8 @@ def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def gold_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The star with its laid-out tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, "gold")
     star_ = star_tables(spark, sf_dir)
-    if key not in _gold_paths:
-        path = f"{shared_folder(spark)}/gold-{uuid.uuid4().hex}"
-        gold.write_gold(star_, path)
-        _gold_paths[key] = path
-    return star_ | gold.read_gold(spark, _gold_paths[key])
+    return star_ | gold.read_gold(spark, _written(spark, sf_dir, "gold", lambda path: gold.write_gold(star_, path)))
 
 
 def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +268,32 @@ def items_adjacent(spark, sf_dir):
     )
 
 
+def dim_incremental(spark, sf_dir):
+    """Codes loaded in one batch and in ten, each batch reading the buckets it touches."""
+    rows = charge_rows(spark, sf_dir)
+
+    def load(path: str, batches: int) -> None:
+        for n in range(batches):
+            batch = write_stage(star.codes(rows.where(F.pmod(F.xxhash64("row_ord"), F.lit(batches)) == n)), "codes-batch")
+            ingest.add_to_dimension(spark, path, "codes", n, batch)
+
+    loaded = []
+    for batches in (1, 10):
+        path = _written(spark, sf_dir, f"codes-in-{batches}", lambda p, n=batches: load(p, n))
+        loaded.append(ingest.read_dimension(spark, path, "codes").select(F.lit(batches).alias("batches"), "code", "code_type"))
+    return loaded[0].unionByName(loaded[1])
+
+
+def load_ledger(spark, sf_dir):
+    """A folder of charge files, one of them damaged: what became of each, and of the rows."""
+    source = _written(spark, sf_dir, "charge-files", lambda path: adapters.write_charge_files(charge_rows(spark, sf_dir), path))
+    out = _written(spark, sf_dir, "charge-load", lambda path: load_directory(spark, source, path, "*"))
+    ledger = spark.read.parquet(f"{out}/ledger")
+    rows = spark.read.parquet(f"{out}/charges")
+    hospitals = rows.agg(F.count_distinct("source_file")).scalar()
+    return ledger_summary(ledger).drop("bytes").withColumn("hospitals", hospitals)
+
+
 def dim_upsert(spark, sf_dir):
     """Part names of small parts exist already, those of all parts come in."""
     parts = adapters.table(spark, sf_dir, "part")
@@ -448,6 +482,45 @@ def wide_unpivot(spark, sf_dir):
     return _charge_result(charge_ops.csv_charges(adapters.wide_records(spark, sf_dir)))
 
 
+def _hospital_csvs(spark, sf_dir):
+    return _written(spark, sf_dir, "hospital-csv", lambda path: adapters.write_hospital_csvs(spark, sf_dir, path))
+
+
+def csv_conversion_stats(spark, sf_dir):
+    """CSV files written and read back: data records read, charge rows, payers, per file."""
+    records = hospital_csv.read_records(spark, _hospital_csvs(spark, sf_dir))
+    stats = charge_ops.conversion_stats(charge_ops.csv_charges(records), hospital_csv.input_counts(records))
+    number = F.regexp_extract("source_file", r"file=(\d+)", 1).cast("long")
+    return stats.select(number.alias("file"), "input_records", "charge_rows", "payer_rows", "payer_plan_pairs")
+
+
+def payer_charge_keys(spark, sf_dir):
+    """Ids of payer charges of CSV files read together, cut into small splits, and of one file read alone."""
+    path = _hospital_csvs(spark, sf_dir)
+
+    def ids(at: str, **options) -> DataFrame:
+        rows = charge_ops.csv_charges(hospital_csv.read_records(spark, at, **options))
+        return write_stage(star.payer_charges(star.with_ids(rows)).select("payer_charge_id"), "payer-charge-keys")
+
+    together = ids(path)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = ids(path, split_above_bytes=0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    readings = {"together": together, "split": split, "alone": ids(f"{path}/file=5")}
+    known = together.select("payer_charge_id", F.lit(True).alias("known"))
+    counted = [
+        rows.withColumn("reading", F.lit(name)).join(known, "payer_charge_id", "left") for name, rows in readings.items()
+    ]
+    return reduce(DataFrame.unionByName, counted).groupBy("reading").agg(
+        F.count("*").alias("payer_charges"),
+        F.count_distinct("payer_charge_id").alias("ids"),
+        F.count("known").alias("known"),
+    )
+
+
 def _hospital_documents(spark, sf_dir):
     return _stage(
         spark, sf_dir, "hospital-documents", lambda: adapters.hospital_documents(spark, sf_dir)
@@ -601,13 +674,13 @@ QUERIES: dict[str, Query] = {
             code_search_index, hospital_code_info, code_exists, service_info, hospital_detail_percentiles, hospital_flags,
             standard_charges_dedup, payer_charge_details, headline_price, price_summary,
             lowest_flag, sort_by_median_nulls_last, describe_codes, dim_codes, item_codes,
-            items_by_key, charges_by_key, hospitals, payer_charges, items_adjacent, dim_upsert,
+            items_by_key, charges_by_key, hospitals, payer_charges, items_adjacent, dim_upsert, dim_incremental, load_ledger,
             dim_payers_union, payer_anti, payer_backfill, payer_backfill_down, table_counts,
             load_summary, hospital_load_summary, first_hospital, item_descriptions,
             charge_values, payer_details, item_drug_info, item_notes, toc_plans,
             toc_plans_market, toc_urls, toc_stats, rates_flat, providers_flat,
             npi_filtered_rates, npi_filtered_providers, rates_join_providers, embedded_groups,
-            conversion_stats, tall_parse, wide_unpivot, json_expand, charge_conversion_stats,
+            conversion_stats, csv_conversion_stats, payer_charge_keys, tall_parse, wide_unpivot, json_expand, charge_conversion_stats,
             modifier_payers, date_fallback, flex_numbers, utf8_repair, metric_history,
             metric_range, plan_match_topk, plan_index_stats, conformance_report,
             toc_conformance, rate_conformance, provider_conformance, json_conformance,

@@ -146,8 +146,8 @@ def wide_charges(records: DataFrame) -> DataFrame:
     carried = [c for c in common.columns if c not in ("cells", "layout", "_pairs")]
     return as_charges(
         common.select(*carried, _payer_groups().alias("_groups"))
-        .select(*carried, F.explode_outer("_groups").alias("_payer"))
-        .select(*carried, "_payer.*")
+        .select(*carried, F.posexplode_outer("_groups").alias("payer_ord", "_payer"))
+        .select(*carried, "payer_ord", "_payer.*")
     )
 
 
@@ -259,10 +259,14 @@ def json_charges(items: DataFrame) -> DataFrame:
     )
 
 
-def conversion_stats(charges: DataFrame) -> DataFrame:
-    """Rows, rows with a payer, and payer/plan pairs per file."""
-    return charges.groupBy("source_file").agg(
+def conversion_stats(charges: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """Rows, rows with a payer, and payer/plan pairs per file.
+
+    ``inputs`` (source_file, input_records) adds what was read; files without any charge row then count 0.
+    """
+    stats = charges.groupBy("source_file").agg(
         F.count("*").alias("charge_rows"),
         F.count("payer_name").alias("payer_rows"),
         F.count_distinct("payer_name", "plan_name").alias("payer_plan_pairs"),
     )
+    return stats if inputs is None else inputs.join(stats, "source_file", "left").fillna(0)

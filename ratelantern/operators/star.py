@@ -184,7 +184,7 @@ def payer_charges(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("payer_name").isNotNull()).select(
         hash_id(
             F.col("standard_charge_id"), F.col("payer_id"), F.col("plan_id"),
-            F.col("row_ord").cast("string"),
+            F.col("row_ord").cast("string"), F.col("payer_ord").cast("string"),
         ).alias("payer_charge_id"),
         "standard_charge_id",
         "payer_id",

@@ -157,6 +157,7 @@ CHARGE_EXTRAS: dict[str, T.DataType] = {
     "source_file": _TEXT,
     "row_ord": T.LongType(),
     "row_chunk": T.LongType(),
+    "payer_ord": T.IntegerType(),
 }
 
 # --- small inputs --------------------------------------------------------------------------

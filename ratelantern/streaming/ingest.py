@@ -4,6 +4,9 @@ Each run picks up the Parquet files added since the last one (one file per hospi
 the converters write them) and adds them to the star. A batch is written to a folder of its
 own number and overwrites it when repeated, so a batch that fails halfway and runs again
 leaves no duplicates.
+
+Keys of shared dimensions are stored in buckets by the first characters of their id, which is a hash. A batch
+compares its keys with earlier ones of the buckets it touches; the other folders are not read.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,23 +20,66 @@ from ratelantern.operators.star import STAR_TABLES, build_star, with_ids
 from ratelantern.schemas import CHARGE_COLUMNS, CHARGE_EXTRAS
 from ratelantern.session import write_stage
 
-# Dimensions shared by all files: only keys not loaded yet are added.
-SHARED = {"codes": "code_id", "payers": "payer_id", "plans": "plan_id"}
+# Dimensions shared by all files: only keys not loaded yet are added. The first column is the key.
+SHARED = {
+    "codes": "code_id string, code string, code_type string",
+    "payers": "payer_id string, name string",
+    "plans": "plan_id string, name string",
+}
+# 16 ^ 2 buckets.
+BUCKET_CHARACTERS = 2
 _PROVENANCE = ("source_file", "row_ord", "row_chunk")
 
 
 def read_star(spark: SparkSession, star_path: str) -> dict[str, DataFrame]:
     """The tables of a star loaded by ``load_new_files``."""
     return {
-        name: spark.read.parquet(f"{star_path}/{name}").drop("batch") for name in STAR_TABLES
+        name: read_dimension(spark, star_path, name).drop("batch", "bucket")
+        if name in SHARED
+        else spark.read.parquet(f"{star_path}/{name}").drop("batch")
+        for name in STAR_TABLES
     }
 
 
-def _earlier_keys(spark: SparkSession, path: str, key: str, batch: int) -> DataFrame | None:
+def read_dimension(spark: SparkSession, star_path: str, name: str) -> DataFrame:
+    """A shared dimension with its batch and bucket; they are folders, so filters on them prune."""
+    return spark.read.schema(f"{SHARED[name]}, batch int, bucket string").parquet(f"{star_path}/{name}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None  # nothing loaded yet
-    return spark.read.parquet(path).where(F.col("batch") < batch).select(key)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _bucket(key: str):
+    # With a letter in front, no folder name looks like a number.
+    return F.concat(F.lit("b"), F.substring(key, 1, BUCKET_CHARACTERS))
+
+
+def earlier_keys(spark: SparkSession, star_path: str, name: str, batch: int, incoming: DataFrame) -> DataFrame | None:
+    """Keys of earlier batches in the buckets of ``incoming`` (None: nothing is loaded yet)."""
+    if not _exists(spark, f"{star_path}/{name}"):
+        return None
+    key = incoming.columns[0]
+    # No more than there are buckets.
+    touched = [r.bucket for r in incoming.select(_bucket(key).alias("bucket")).distinct().collect()]
+    known = read_dimension(spark, star_path, name)
+    return known.where(F.col("bucket").isin(touched) & (F.col("batch") < batch)).select(key)
+
+
+def add_to_dimension(spark: SparkSession, star_path: str, name: str, batch: int, incoming: DataFrame) -> None:
+    """Add the keys of a batch that no earlier one had; a repeated batch replaces what it wrote."""
+    key = incoming.columns[0]
+    earlier = earlier_keys(spark, star_path, name, batch, incoming)
+    new = incoming if earlier is None else incoming.join(earlier, key, "left_anti")
+    (
+        new.withColumn("bucket", _bucket(key))
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", key)
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(f"{star_path}/{name}/batch={batch}")
+    )
 
 
 def load_new_files(
@@ -64,12 +110,11 @@ def load_new_files(
     def load(batch: DataFrame, number: int) -> None:
         rows = write_stage(with_ids(as_charges(batch)), f"batch-{number}")
         for name, table in build_star(rows, skip_payer_charges=skip_payer_charges).items():
-            path = f"{star_path}/{name}"
             if name in SHARED:
-                earlier = _earlier_keys(batch.sparkSession, path, SHARED[name], number)
-                if earlier is not None:
-                    table = table.join(earlier, SHARED[name], "left_anti")
-            table.write.mode("overwrite").parquet(f"{path}/batch={number}")
+                incoming = write_stage(table, f"batch-{number}-{name}")
+                add_to_dimension(batch.sparkSession, star_path, name, number, incoming)
+            else:
+                table.write.mode("overwrite").parquet(f"{star_path}/{name}/batch={number}")
 
     return (
         files.writeStream.foreachBatch(load)
