@@ -491,6 +491,84 @@ def hospital_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_documents(texts, "text", "source_file", HOSPITAL_DOCUMENT)
 
 
+# --- files ------------------------------------------------------------------------------------
+
+
+def write_json_files(header: DataFrame, arrays: dict[str, DataFrame], path: str) -> None:
+    """One JSON document per ``file``: ``path``/file=x/*.json, elements a line each, so no document is one row.
+
+    ``header`` has (file, text): an object with at least one field. Each array has (file, at, text).
+    """
+    lines, number = header.select("file", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("at"), F.expr("left(text, length(text) - 1)").alias("value")), 0
+    for name, elements in arrays.items():
+        number += 2
+        opening = header.select("file", F.lit(number - 1).alias("part"), F.lit(0).cast("bigint").alias("at"), F.lit(f',"{name}":[').alias("value"))
+        first = elements.groupBy("file").agg(F.min("at").alias("_first"))
+        listed = elements.join(first, "file").select(
+            "file", F.lit(number).alias("part"), "at", F.concat(F.when(F.col("at") == F.col("_first"), "").otherwise(","), "text").alias("value")
+        )
+        closing = header.select("file", F.lit(number).alias("part"), F.lit((1 << 63) - 1).alias("at"), F.lit("]").alias("value"))
+        lines = lines.unionByName(opening).unionByName(listed).unionByName(closing)
+    end = header.select("file", F.lit(number + 1).alias("part"), F.lit(0).cast("bigint").alias("at"), F.lit("}").alias("value"))
+    (
+        lines.unionByName(end)
+        .repartition("file")
+        .sortWithinPartitions("file", "part", "at")
+        .select("file", "value")
+        .write.partitionBy("file")
+        .text(path)
+    )
+
+
+def write_toc_files(structures: DataFrame, path: str, files: int = 8) -> None:
+    """Reporting structures of orders as documents of several orders each."""
+    key = F.split("source_file", "-")[1].cast("bigint")
+    elements = structures.select(
+        (key % files).alias("file"),
+        (key * 4 + F.col("structure_id")).alias("at"),
+        F.to_json(F.struct("reporting_plans", "in_network_files")).alias("text"),
+    )
+    header = F.struct(*[F.lit(v).alias(n) for n, v in (("reporting_entity_name", "Payer"), ("reporting_entity_type", "issuer"), ("last_updated_on", "2024-07-01"), ("version", "2.0.0"))])
+    headers = elements.select("file").distinct().withColumn("text", F.to_json(header))
+    write_json_files(headers, {"reporting_structure": elements}, path)
+
+
+def write_in_network_files(documents: DataFrame, path: str, files: int = 8) -> None:
+    """Items and references of orders as documents of several orders each."""
+    key = F.split("source_file", "-")[1].cast("bigint")
+
+    def elements(array: str) -> DataFrame:
+        rows = documents.select((key % files).alias("file"), key.alias("key"), F.posexplode(array).alias("n", "element"))
+        return rows.select("file", (F.col("key") * 4 + F.col("n")).alias("at"), F.to_json("element").alias("text"))
+
+    header = F.struct(*[F.lit(v).alias(n) for n, v in (("reporting_entity_name", "Insurer"), ("reporting_entity_type", "issuer"), ("last_updated_on", "2024-07-01"), ("version", "2.0.0"))])
+    headers = documents.select((key % files).alias("file")).distinct().withColumn("text", F.to_json(header))
+    write_json_files(headers, {"provider_references": elements("provider_references"), "in_network": elements("in_network")}, path)
+
+
+def write_hospital_json_files(documents: DataFrame, path: str, files: int = 8) -> None:
+    """Items of orders as documents of one version each; file and version agree in being even."""
+    key = F.split("source_file", "-")[1].cast("bigint")
+    rows = documents.withColumn("file", key % files)
+    items = rows.select("file", key.alias("at"), F.to_json(F.col("standard_charge_information")[0]).alias("text"))
+    fields = [c for c in documents.columns if c not in ("source_file", "standard_charge_information", "modifier_information")]
+    headers = rows.groupBy("file").agg(F.first(F.to_json(F.struct(*fields))).alias("text"))
+    modifiers = rows.select("file", key.alias("at"), F.to_json(F.col("modifier_information")[0]).alias("text"))
+    write_json_files(headers, {"standard_charge_information": items, "modifier_information": modifiers}, path)
+
+
+def write_npi_list(npis: DataFrame, path: str) -> None:
+    """A JSON array of objects, one a line."""
+    header = npis.agg(F.count("*")).select(F.lit(0).alias("file"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("npi"))
+    lines = npis.select(F.lit(0).alias("file"), F.lit(1).alias("part"), "npi")
+    first = npis.agg(F.min("npi").alias("_first")).scalar()
+    text = F.when(F.col("part") == 0, "[").when(F.col("part") == 2, "]").otherwise(
+        F.concat(F.when(F.col("npi") == first, "").otherwise(","), F.lit('{"npi":"'), F.col("npi").cast("string"), F.lit('"}'))
+    )
+    ends = header.unionByName(header.withColumn("part", F.lit(2)))
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("part", "npi").select(text.alias("value")).write.text(path)
+
+
 # --- plan matching -----------------------------------------------------------------------------
 
 _STATES = ["NY", "CA", "TX", "FL", "WA"]

@@ -31,7 +31,7 @@ charges AS (
     CASE WHEN l_linenumber % 4 <> 0 AND l_tax > 0.06 THEN 'taxed' END AS payer_notes,
     s_name AS hospital_name,
     n_name AS hospital_address,
-    'supplier-' || l_suppkey AS source_file,
+    'supplier-' || l_suppkey AS source_file, l_orderkey * 8 + l_linenumber AS row_ord,
     md5('supplier-' || l_suppkey) AS hospital_id
   FROM lineitem
   JOIN part ON l_partkey = p_partkey
@@ -408,6 +408,33 @@ FROM counted GROUP BY file""",
     "load_ledger": f"""WITH {_CHARGES}
 SELECT outcome, files, CAST(CASE outcome WHEN 'loaded' THEN n ELSE 0 END AS BIGINT) AS rows_loaded, hospitals
 FROM (SELECT count(*) AS n, count(DISTINCT source_file) AS hospitals FROM charges), (VALUES ('loaded', 8), ('failed', 1)) AS outcomes(outcome, files)""",
+    "toc_files": f"""{_TOC}
+SELECT reader, output, issuer_name, plan_id_type, CAST(count(*) AS BIGINT) AS plans, CAST(count(DISTINCT plan_id) AS BIGINT) AS plan_ids,
+  (SELECT CAST(sum(n) AS INTEGER) FROM (SELECT source_file, structure_id, any_value(o_orderkey % 4) AS n FROM matched WHERE is_match GROUP BY ALL)) AS urls
+FROM matched, (VALUES ('whole'), ('elements')) AS readers(reader), (VALUES ('plans'), ('normalised'), ('json')) AS outputs(output)
+WHERE is_match GROUP BY reader, output, issuer_name, plan_id_type""",
+    "in_network_files": f"""{_RATES},
+counted AS (
+  SELECT negotiated_type || ' ' || CASE WHEN d.o_orderstatus = 'F' THEN 'inpatient' ELSE 'outpatient' END AS kind,
+    CAST(count(*) AS BIGINT) AS n, max(negotiated_rate) AS highest
+  FROM prices p JOIN docs d USING (source_file) GROUP BY 1
+  UNION ALL SELECT 'tin ' || tin_type, count(*), CAST(max(npi) AS DOUBLE) FROM kept_providers GROUP BY 1
+)
+SELECT kind, n, highest, reader FROM counted, (VALUES ('whole'), ('elements')) AS readers(reader)""",
+    "hospital_json_files": f"""{_HOSPITAL_ROWS}
+SELECT reader, description, setting, cpt_code, rc_code, gross_charge, payer_name, plan_name, methodology, negotiated_dollar,
+  median_amount, "count", modifiers, drug_unit_of_measurement, version, hospital_location, license_number, attester_name
+FROM rows_, (VALUES ('whole'), ('elements')) AS readers(reader)""",
+    "charges_adjacent": f"""{_STAR},
+placed AS (
+  SELECT source_file, row_ord, item_key <> lag(item_key) OVER w AS new_item, charge_key <> lag(charge_key) OVER w AS new_charge
+  FROM rows_ WINDOW w AS (PARTITION BY source_file ORDER BY row_ord, gross_charge)
+)
+SELECT source_file, CAST(count(*) FILTER (WHERE coalesce(new_item, true)) AS BIGINT) AS items,
+  CAST(count(*) FILTER (WHERE coalesce(new_charge, true)) AS BIGINT) AS charges
+FROM placed GROUP BY source_file""",
+    "load_date": f"""WITH {_CHARGES} SELECT DISTINCT source_file,
+  CASE WHEN CAST(split_part(source_file, '-', 2) AS INTEGER) % 3 = 0 THEN '2025-01-31' ELSE '2024-07-01' END AS last_updated_on FROM charges""",
     "payer_charge_keys": f"""{_CSV_FILES}
 SELECT reading, CAST(sum(payers) AS BIGINT) AS payer_charges, CAST(sum(payers) AS BIGINT) AS ids, CAST(sum(payers) AS BIGINT) AS known
 FROM counted, (VALUES ('together'), ('split'), ('alone')) AS readings(reading)
@@ -706,3 +733,5 @@ FROM plan_ids GROUP BY state""",
         "version,",
     ),
 }
+
+ORACLES["star_files"] = f"{ORACLES['table_counts']} UNION ALL SELECT 'linked payer charges', count(*) FROM payer_charges"

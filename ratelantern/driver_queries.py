@@ -20,8 +20,10 @@ from ratelantern.operators import matching, profiles, quality, rates, star, toc
 from ratelantern.operators.ordered import mark_runs, row_chunk
 from ratelantern.plans import compare, detail, listings, search
 from ratelantern.session import shared_folder, write_stage
-from ratelantern.sinks import gold
-from ratelantern.sources.charges import ledger_summary, load_directory
+from ratelantern.sinks import gold, writers
+from ratelantern.sources import toc as toc_source
+from ratelantern.sources.charges import ledger_summary, load_directory, read_charges
+from ratelantern.sources.lookups import read_npi_allow_list
 from ratelantern.streaming import ingest
 from ratelantern.sources import hospital_csv, hospital_json, in_network
 
@@ -560,6 +562,132 @@ def modifier_payers(spark, sf_dir):
     )
 
 
+# --- files, through the readers and writers ----------------------------------------------------
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def toc_files(spark, sf_dir):
+    """Plans of table-of-contents files, read whole and cut into elements, as each of the three outputs has them."""
+    path = _written(spark, sf_dir, "toc-files", lambda p: adapters.write_toc_files(_structures(spark, sf_dir), p))
+    readers = {
+        "whole": toc_source.structures(toc_source.read_toc(spark, f"{path}/*")),
+        "elements": toc_source.read_large_structures(spark, path),
+    }
+    found = []
+    for reader, rows in readers.items():
+
+        def write(out: str, rows=rows) -> None:
+            writers.write_plans(rows, f"{out}/plans.parquet", NEW_YORK)
+            writers.write_normalised_plans(rows, f"{out}/normalised.parquet", NEW_YORK)
+            writers.write_plan_json(rows, f"{out}/json", NEW_YORK)
+
+        out = _written(spark, sf_dir, f"toc-out-{reader}", write)
+        urls = spark.read.parquet(writers.urls_path(f"{out}/normalised.parquet")).count()
+        outputs = {
+            "plans": spark.read.parquet(f"{out}/plans.parquet"),
+            "normalised": spark.read.parquet(f"{out}/normalised.parquet"),
+            "json": spark.read.json(f"{out}/json/plans"),
+        }
+        for output, plans in outputs.items():
+            counted = plans.groupBy("issuer_name", "plan_id_type").agg(
+                F.count("*").alias("plans"), F.count_distinct("plan_id").alias("plan_ids")
+            )
+            found.append(counted.select(F.lit(reader).alias("reader"), F.lit(output).alias("output"), "*", F.lit(urls).alias("urls")))
+    return _union(found)
+
+
+def in_network_files(spark, sf_dir):
+    """Rates and providers of in-network files, read whole and cut into elements, written and read back."""
+    documents = _stage(spark, sf_dir, "in-network", lambda: adapters.in_network_documents(spark, sf_dir))
+    path = _written(spark, sf_dir, "in-network-files", lambda p: adapters.write_in_network_files(documents, p))
+    listed = _written(spark, sf_dir, "npi-list", lambda p: adapters.write_npi_list(adapters.allowed_npis(spark, sf_dir), p))
+    allowed = read_npi_allow_list(spark, listed)
+    whole = in_network.read_in_network(spark, f"{path}/*")
+    readers = {
+        "whole": (in_network.items(whole), in_network.references(whole)),
+        "elements": in_network.read_large_in_network(spark, path),
+    }
+    found = []
+    for reader, (items, references) in readers.items():
+
+        def write(out: str, items=items, references=references) -> None:
+            writers.write_rates(rates.rates(items), rates.providers(items, references, allowed), out)
+
+        out = _written(spark, sf_dir, f"in-network-out-{reader}", write)
+        by_rate = spark.read.parquet(f"{out}_rates").groupBy(F.concat_ws(" ", "negotiated_type", "setting").alias("kind")).agg(
+            F.count("*").alias("n"), F.max("negotiated_rate").alias("highest")
+        )
+        by_npi = spark.read.parquet(f"{out}_providers").groupBy(F.concat(F.lit("tin "), "tin_type").alias("kind")).agg(
+            F.count("*").alias("n"), F.max("npi").cast("double").alias("highest")
+        )
+        found += [by_rate.withColumn("reader", F.lit(reader)), by_npi.withColumn("reader", F.lit(reader))]
+    return _union(found)
+
+
+def hospital_json_files(spark, sf_dir):
+    """Charges of hospital JSON files, read whole and cut into elements, stored as charge rows and read back."""
+    documents = _hospital_documents(spark, sf_dir)
+    path = _written(spark, sf_dir, "hospital-json", lambda p: adapters.write_hospital_json_files(documents, p))
+    readers = {
+        "whole": hospital_json.items(hospital_json.read_hospital_json(spark, f"{path}/*")),
+        "elements": hospital_json.read_large_hospital_json(spark, path)[0],
+    }
+    found = []
+    for reader, items in readers.items():
+        out = _written(
+            spark, sf_dir, f"hospital-json-out-{reader}", lambda p, items=items: writers.write_charges(charge_ops.json_charges(items), p)
+        )
+        rows = read_charges(spark, out)
+        found.append(
+            rows.select(
+                F.lit(reader).alias("reader"), "description", "setting", "cpt_code", "rc_code", "gross_charge",
+                "payer_name", "plan_name", "methodology", "negotiated_dollar", "median_amount", "count",
+                "modifiers", "drug_unit_of_measurement", "version", "hospital_location", "license_number", "attester_name",
+            )
+        )
+    return _union(found)
+
+
+def star_files(spark, sf_dir):
+    """The star written table by table and read back: rows of each table, and payer charges whose parents are all there."""
+    path = _written(spark, sf_dir, "star-files", lambda p: writers.write_star(star_tables(spark, sf_dir), p))
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in star.STAR_TABLES}
+    whole = (
+        tables["payer_charges"]
+        .join(tables["standard_charges"].select("standard_charge_id", "item_id"), "standard_charge_id")
+        .join(tables["standard_charge_items"].select("item_id", "hospital_id"), "item_id")
+        .join(tables["hospitals"].select("hospital_id"), "hospital_id")
+        .join(tables["payers"].select("payer_id"), "payer_id")
+        .join(tables["plans"].select("plan_id"), "plan_id")
+    )
+    linked = whole.agg(F.count("*").alias("row_count")).select(F.lit("linked payer charges").alias("table_name"), "row_count")
+    return listings.table_counts(tables).unionByName(linked)
+
+
+def charges_adjacent(spark, sf_dir):
+    """Items and charges of each hospital when only neighbouring rows are grouped, in chunks of some hundred rows."""
+    rows = charge_rows(spark, sf_dir).drop("hospital_id", "item_id", "standard_charge_id", "payer_id", "plan_id")
+    # Line items repeat their order and line number; the price tells them apart.
+    cents = F.round(F.col("gross_charge") * 100).cast("bigint")
+    chunked = rows.withColumn("row_chunk", row_chunk(F.col("row_ord"), 1 << 12)).withColumn(
+        "row_ord", F.shiftleft("row_ord", 32) + cents
+    )
+    return star.with_ids(chunked, "adjacent").groupBy("source_file").agg(
+        F.count_distinct("item_id").alias("items"), F.count_distinct("standard_charge_id").alias("charges")
+    )
+
+
+def load_date(spark, sf_dir):
+    """Dates of hospitals when every third has none that can be read."""
+    rows = charge_rows(spark, sf_dir).withColumn(
+        "last_updated_on", F.when(F.substring_index("source_file", "-", -1).cast("int") % 3 == 0, "soon").otherwise(F.col("last_updated_on"))
+    )
+    return star.hospitals(rows, load_date="2025-01-31").select("source_file", F.col("last_updated_on").cast("string").alias("last_updated_on"))
+
+
 # --- cleaning ----------------------------------------------------------------------------------
 
 
@@ -681,7 +809,7 @@ QUERIES: dict[str, Query] = {
             toc_plans_market, toc_urls, toc_stats, rates_flat, providers_flat,
             npi_filtered_rates, npi_filtered_providers, rates_join_providers, embedded_groups,
             conversion_stats, csv_conversion_stats, payer_charge_keys, tall_parse, wide_unpivot, json_expand, charge_conversion_stats,
-            modifier_payers, date_fallback, flex_numbers, utf8_repair, metric_history,
+            modifier_payers, toc_files, in_network_files, hospital_json_files, star_files, charges_adjacent, load_date, date_fallback, flex_numbers, utf8_repair, metric_history,
             metric_range, plan_match_topk, plan_index_stats, conformance_report,
             toc_conformance, rate_conformance, provider_conformance, json_conformance,
         )

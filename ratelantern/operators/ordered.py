@@ -5,7 +5,7 @@ a table with one row per chunk carries what the next chunk needs to know. So a f
 holds a third of all rows is spread over as many tasks as it has chunks.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,35 +29,59 @@ def mark_runs(
 
     ``chunk`` must grow with the order and be a function of the first order column.
     """
+    return mark_nested_runs(df, by, order, {out: keys}, chunk)
+
+
+def mark_nested_runs(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], levels: Mapping[str, Sequence[str]], chunk: Column
+) -> DataFrame:
+    """Number the runs of several levels (output column to keys) in one pass.
+
+    One sort numbers all levels inside the chunks, and one row per chunk carries the first and last keys
+    and the number of runs of every level on to the next.
+    """
     by = list(by)
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     across = Window.partitionBy(*by).orderBy("_chunk")
-    here, before = F.struct(*keys), F.col("_before")
+    here = {out: F.struct(*keys) for out, keys in levels.items()}
 
-    numbered = (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_before", F.lag(here).over(inside))
-        .withColumn("_n", F.row_number().over(inside))
-        .withColumn("_new", ((F.col("_n") > 1) & ~here.eqNullSafe(before)).cast("bigint"))
-        .withColumn("_inner", F.sum("_new").over(inside))
+    numbered = df.withColumn("_chunk", chunk).withColumns(
+        {"_n": F.row_number().over(inside), **{f"_before_{out}": F.lag(h).over(inside) for out, h in here.items()}}
     )
-    edges = numbered.groupBy(*by, "_chunk").agg(
-        F.min_by(here, F.col("_n")).alias("_first"),
-        F.max_by(here, F.col("_n")).alias("_last"),
-        F.sum("_new").alias("_news"),
-    )
-    continues = F.col("_first").eqNullSafe(F.lag("_last").over(across))
-    opens = F.when((F.row_number().over(across) > 1) & continues, 0).otherwise(1)
-    bases = edges.withColumn("_opens", opens).select(
+    numbered = numbered.withColumns(
+        {
+            f"_new_{out}": ((F.col("_n") > 1) & ~h.eqNullSafe(F.col(f"_before_{out}"))).cast("bigint")
+            for out, h in here.items()
+        }
+    ).withColumns({f"_inner_{out}": F.sum(f"_new_{out}").over(inside) for out in levels})
+    summaries = []
+    for out, h in here.items():
+        summaries += [
+            F.min_by(h, F.col("_n")).alias(f"_first_{out}"),
+            F.max_by(h, F.col("_n")).alias(f"_last_{out}"),
+            F.sum(f"_new_{out}").alias(f"_news_{out}"),
+        ]
+    edges = numbered.groupBy(*by, "_chunk").agg(*summaries)
+    opens = {
+        out: F.when(
+            (F.row_number().over(across) > 1)
+            & F.col(f"_first_{out}").eqNullSafe(F.lag(f"_last_{out}").over(across)),
+            0,
+        ).otherwise(1)
+        for out in levels
+    }
+    edges = edges.withColumns({f"_opens_{out}": o for out, o in opens.items()})
+    bases = edges.select(
         *by,
         "_chunk",
-        (F.sum(F.col("_opens") + F.col("_news")).over(across) - F.col("_news")).alias("_base"),
-    )
-    return (
-        numbered.join(bases, [*by, "_chunk"])
-        .withColumn(out, F.col("_base") + F.col("_inner"))
-        .drop("_chunk", "_before", "_n", "_new", "_inner", "_base")
+        *[
+            (F.sum(F.col(f"_opens_{out}") + F.col(f"_news_{out}")).over(across) - F.col(f"_news_{out}")).alias(f"_base_{out}")
+            for out in levels
+        ],
     )
+    runs = {out: F.col(f"_base_{out}") + F.col(f"_inner_{out}") for out in levels}
+    helpers = [f"_{kind}_{out}" for kind in ("before", "new", "inner", "base") for out in levels]
+    return numbered.join(bases, [*by, "_chunk"]).withColumns(runs).drop("_chunk", "_n", *helpers)
 
 
 def running_offset(

@@ -20,7 +20,7 @@ from ratelantern.functions.clean import (
 )
 from ratelantern.fixed_values import CODE_COLUMNS
 from ratelantern.functions.codes import code_text, unpivot_codes
-from ratelantern.operators.ordered import mark_runs
+from ratelantern.operators.ordered import mark_nested_runs
 
 STAR_TABLES = [
     "hospitals",
@@ -79,10 +79,10 @@ def with_ids(charges: DataFrame, grouping: str = "key") -> DataFrame:
         charges = charges.withColumn("_item", hash_id(*item_key())).withColumn(
             "_charge", hash_id(F.col("_item"), *charge_key())
         )
-        for keys, run in ((["_item"], "_item_run"), (["_item", "_charge"], "_charge_run")):
-            charges = mark_runs(
-                charges, ["source_file"], ["row_chunk", "row_ord"], keys, F.col("row_chunk"), run
-            )
+        levels = {"_item_run": ["_item"], "_charge_run": ["_item", "_charge"]}
+        charges = mark_nested_runs(
+            charges, ["source_file"], ["row_chunk", "row_ord"], levels, F.col("row_chunk")
+        )
         item_run, charge_run = F.col("_item_run").cast("string"), F.col("_charge_run").cast("string")
     else:
         raise ValueError(f"unknown grouping {grouping!r}")
@@ -104,8 +104,11 @@ def _first_row(df: DataFrame, key: str, *columns: Column) -> DataFrame:
     return df.groupBy(key).agg(picked).select(key, "_row.*")
 
 
-def hospitals(rows: DataFrame) -> DataFrame:
-    """One hospital per source file, described by its first row."""
+def hospitals(rows: DataFrame, load_date: str | None = None) -> DataFrame:
+    """One hospital per source file, described by its first row.
+
+    ``load_date`` (yyyy-MM-dd) stands in for a date that is missing or can't be parsed; without it the date is null.
+    """
     return _first_row(
         rows,
         "hospital_id",
@@ -117,7 +120,7 @@ def hospitals(rows: DataFrame) -> DataFrame:
         null_if_empty(loaded_text(F.col("license_number"))).alias("license_number"),
         null_if_empty(loaded_text(F.col("license_state"))).alias("license_state"),
         loaded_text(F.col("version")).alias("version"),
-        parsed_date(F.col("last_updated_on")).alias("last_updated_on"),
+        F.coalesce(parsed_date(F.col("last_updated_on")), F.lit(load_date).cast("date")).alias("last_updated_on"),
         F.col("attester_name"),
     )
 
@@ -203,7 +206,7 @@ def payer_charges(rows: DataFrame) -> DataFrame:
 
 
 def build_star(
-    charges: DataFrame, grouping: str = "key", skip_payer_charges: bool = True
+    charges: DataFrame, grouping: str = "key", skip_payer_charges: bool = True, load_date: str | None = None
 ) -> dict[str, DataFrame]:
     """All tables of the star. Payer tables stay empty unless asked for.
 
@@ -212,7 +215,7 @@ def build_star(
     rows = charges if "item_id" in charges.columns else with_ids(charges, grouping)
     payer_rows = rows.where(F.lit(False)) if skip_payer_charges else rows
     return {
-        "hospitals": hospitals(rows),
+        "hospitals": hospitals(rows, load_date),
         "codes": codes(rows),
         "plans": plans(payer_rows),
         "payers": payers(payer_rows),
