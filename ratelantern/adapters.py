@@ -491,6 +491,136 @@ def hospital_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_documents(texts, "text", "source_file", HOSPITAL_DOCUMENT)
 
 
+# --- rows that break rules -----------------------------------------------------------------------
+
+
+def _breaking(orders: DataFrame, valid: dict[str, object], breaks: list[dict[str, object]]) -> DataFrame:
+    """One row per order: the i-th of n changes where o_orderkey % (n + 1) is i, unchanged where it is n."""
+    k = F.col("o_orderkey") % (len(breaks) + 1)
+    columns = []
+    for name, value in valid.items():
+        out = F.lit(value) if not isinstance(value, Column) else value
+        for i, change in enumerate(breaks):
+            if name in change:
+                new = change[name]
+                out = F.when(k == i, new if isinstance(new, Column) else F.lit(new)).otherwise(out)
+        columns.append(out.alias(name))
+    return orders.select(*columns)
+
+
+def broken_charges(orders: DataFrame) -> DataFrame:
+    """Charge rows, in the order of the charge rules."""
+    valid = {
+        "description": "Visit", "setting": "inpatient", "cpt_code": "99213", "gross_charge": F.col("o_totalprice"),
+        "negotiated_dollar": 5.0, "negotiated_percentage": F.lit(None).cast("double"), "min_charge": 1.0, "max_charge": 9.0,
+        "payer_name": F.col("o_orderpriority"), "plan_name": "PPO", "methodology": "fee_schedule", "modifiers": F.lit(None).cast("string"),
+        "ndc_code": F.lit(None).cast("string"), "drug_unit_of_measurement": F.lit(None).cast("double"), "billing_class": "facility",
+        "last_updated_on": "2024-07-01",
+    }
+    return as_charges(
+        _breaking(
+            orders,
+            valid,
+            [
+                {"setting": "elsewhere"},
+                {"payer_name": None},
+                {"cpt_code": None},
+                {"methodology": "other"},
+                {"gross_charge": None, "negotiated_dollar": None},
+                {"min_charge": None},
+                {"negotiated_dollar": None, "negotiated_percentage": 50.0},
+                {"ndc_code": "0002-1433"},
+                {"cpt_code": None, "modifiers": "26", "negotiated_dollar": None},
+                {"drug_unit_of_measurement": 1.0},
+                {"methodology": "guess"},
+                {"billing_class": "hotel"},
+                {"gross_charge": 0.0},
+                {"last_updated_on": "soon"},
+            ],
+        )
+    )
+
+
+def broken_version_3(orders: DataFrame, version: str) -> DataFrame:
+    """Payer values of version 3, in the order of its rules."""
+    valid = {
+        "version": version, "negotiated_percentage": 50.0, "count": "11", "median_amount": 1.0, "percentile_10th": 1.0,
+        "percentile_90th": F.col("o_totalprice"), "additional_payer_notes": F.lit(None).cast("string"),
+    }
+    return as_charges(
+        _breaking(orders, valid, [{"count": None}, {"median_amount": None}, {"count": "0"}, {"count": "many"}, {"percentile_10th": -1.0}])
+    )
+
+
+def broken_structures(orders: DataFrame) -> DataFrame:
+    """Reporting structures, in the order of their rules."""
+    plan = dict(
+        plan_name=F.lit("Gold"), issuer_name=F.lit("Acme"), plan_id_type=F.lit("hios"), plan_id=F.col("o_orderkey").cast("string"),
+        plan_sponsor_name=F.lit(None).cast("string"), plan_market_type=F.lit("group"),
+    )
+
+    def plans(**changes: str) -> Column:
+        return F.array(F.struct(*[(F.lit(changes[n]) if n in changes else c).alias(n) for n, c in plan.items()]))
+
+    def location(url: str) -> Column:
+        return F.struct(F.lit("rates").alias("description"), F.lit(url).alias("location"))
+
+    good = location("https://example.org/a")
+    valid = {"reporting_plans": plans(), "in_network_files": F.array(good), "allowed_amount_file": good}
+    return _breaking(
+        orders,
+        valid,
+        [
+            {"reporting_plans": F.slice(plans(), 1, 0)},
+            {"in_network_files": F.slice(F.array(good), 1, 0), "allowed_amount_file": None},
+            {"in_network_files": F.array(good, location("http://example.org/a"))},
+            {"allowed_amount_file": location("ftp://example.org/a")},
+            {"reporting_plans": plans(plan_id_type="ssn")},
+            {"reporting_plans": plans(plan_market_type="street")},
+            {"reporting_plans": plans(plan_id_type="ein")},
+            {"reporting_plans": plans(plan_name="")},
+        ],
+    )
+
+
+def broken_rates(orders: DataFrame) -> DataFrame:
+    """Rate rows, in the order of the rate rules."""
+    none = F.lit(None).cast("string")
+    valid = {
+        "negotiation_arrangement": "ffs", "billing_code_type": "CPT", "negotiated_type": "negotiated", "billing_class": "professional",
+        "setting": "inpatient", "negotiated_rate": F.col("o_totalprice"), "expiration_date": "2025-01-01", "service_code": F.array(F.lit("11")),
+        "plan_name": none, "plan_id_type": none, "plan_id": none, "plan_market_type": none, "issuer_name": none, "plan_sponsor_name": none,
+    }
+    plan = {"plan_name": "Gold", "plan_id_type": "ein", "plan_id": "12-3456789", "plan_market_type": "group", "issuer_name": "Acme"}
+    return _breaking(
+        orders,
+        valid,
+        [
+            {"negotiation_arrangement": "barter"},
+            {"billing_code_type": "ABC"},
+            {"negotiated_type": "guessed"},
+            {"billing_class": "hotel"},
+            {"setting": "elsewhere"},
+            {"negotiated_rate": 0.0},
+            {"expiration_date": "soon"},
+            {"service_code": None},
+            {"service_code": F.array(F.lit("11"), F.lit("CSTM-00"))},
+            {"plan_name": "Gold"},
+            plan,
+        ],
+    )
+
+
+def broken_providers(orders: DataFrame) -> DataFrame:
+    """Provider rows, in the order of the provider rules."""
+    valid = {"npi": F.lit(1_000_000_000) + F.col("o_orderkey"), "tin_type": "ein", "tin_value": "12-3456789", "business_name": "Clinic"}
+    return _breaking(
+        orders,
+        valid,
+        [{"npi": F.col("o_orderkey") + 1}, {"tin_type": "ssn"}, {"tin_value": "123"}, {"tin_type": "npi", "tin_value": "0123456789"}, {"business_name": None}],
+    )
+
+
 # --- files ------------------------------------------------------------------------------------
 
 

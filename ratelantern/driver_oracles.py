@@ -735,3 +735,72 @@ FROM plan_ids GROUP BY state""",
 }
 
 ORACLES["star_files"] = f"{ORACLES['table_counts']} UNION ALL SELECT 'linked payer charges', count(*) FROM payer_charges"
+
+
+def _breaks(part: str, rules: list[str], broken: bool = True) -> str:
+    """The i-th of n rules is broken where o_orderkey % (n + 1) is i, and nowhere else."""
+    values = ", ".join(f"('{rule}', {i})" for i, rule in enumerate(rules))
+    condition = f"o_orderkey % {len(rules) + 1} = i" if broken else "false"
+    return f"""SELECT '{part}' AS part, rule, CAST(count(*) FILTER (WHERE {condition}) AS BIGINT) AS violations,
+  CAST(count(*) AS BIGINT) AS checked_rows FROM orders, (VALUES {values}) AS rules(rule, i) GROUP BY rule"""
+
+
+_V3_RULES = [
+    "percentage or algorithm has a count",
+    "count above zero has median and percentiles",
+    "count of zero has notes",
+    "count has a valid form",
+    "amounts are positive",
+]
+ORACLES["conformance_breaks"] = " UNION ALL ".join(
+    [
+        _breaks("charges", list(_CHARGE_RULES)),
+        _breaks("version 3", _V3_RULES),
+        _breaks("version 2", _V3_RULES, broken=False),
+        _breaks(
+            "structures",
+            [
+                "structure has plans",
+                "structure has files",
+                "in-network locations are https",
+                "allowed-amount location is https",
+                "plan id type is known",
+                "market type is known",
+                "ein plan has a sponsor",
+                "plan has name, id and issuer",
+            ],
+        ),
+        _breaks(
+            "rates",
+            [
+                "arrangement is known",
+                "billing code type is known",
+                "negotiated type is known",
+                "billing class is known",
+                "setting is known",
+                "rate is positive",
+                "expiration date is a date",
+                "professional rate has service codes",
+                "service codes are valid",
+                "plan fields come together",
+                "ein plan has a sponsor",
+            ],
+        ),
+        _breaks(
+            "providers",
+            [
+                "NPI has ten digits or is zero",
+                "TIN type is known",
+                "EIN has its form",
+                "NPI as TIN has its form",
+                "EIN has a business name",
+            ],
+        ),
+    ]
+)
+ORACLES["csv_code_conformance"] = _report(
+    {"code and code type come together": "l_linenumber % 2 = 0", "code type is known": "l_linenumber % 3 <> 0"},
+    "WITH records AS (SELECT *, 'hospital-' || (l_suppkey % 2) AS source_file FROM lineitem)",
+    "records",
+    "source_file,",
+)

@@ -793,6 +793,25 @@ def json_conformance(spark, sf_dir):
     return quality.report(rows, quality.version_3_rules(), "version")
 
 
+def conformance_breaks(spark, sf_dir):
+    """Reports on orders as rows that break each rule in turn."""
+    orders = adapters.spread(adapters.table(spark, sf_dir, "orders"))
+    parts = {
+        "charges": (adapters.broken_charges(orders), quality.charge_rules()),
+        "version 3": (adapters.broken_version_3(orders, "3.0.0"), quality.version_3_rules()),
+        "version 2": (adapters.broken_version_3(orders, "2.2.0"), quality.version_3_rules()),
+        "structures": (adapters.broken_structures(orders), quality.structure_rules()),
+        "rates": (adapters.broken_rates(orders), quality.rate_rules()),
+        "providers": (adapters.broken_providers(orders), quality.provider_rules()),
+    }
+    return _union([quality.report(rows, rules).withColumn("part", F.lit(part)) for part, (rows, rules) in parts.items()])
+
+
+def csv_code_conformance(spark, sf_dir):
+    """Codes without type and unknown types in records of tall CSV files."""
+    return quality.report(adapters.tall_records(spark, sf_dir), quality.csv_code_rules(), "source_file")
+
+
 QUERIES: dict[str, Query] = {
     "unpivot_codes": unpivot_codes_query,
     **{
@@ -812,6 +831,7 @@ QUERIES: dict[str, Query] = {
             modifier_payers, toc_files, in_network_files, hospital_json_files, star_files, charges_adjacent, load_date, date_fallback, flex_numbers, utf8_repair, metric_history,
             metric_range, plan_match_topk, plan_index_stats, conformance_report,
             toc_conformance, rate_conformance, provider_conformance, json_conformance,
+            conformance_breaks, csv_code_conformance,
         )
     },
 }

@@ -106,11 +106,12 @@ def charge_rules() -> Rules:
 
 
 def version_3_rules() -> Rules:
-    """Payer values only version 3 JSON has."""
+    """Payer values only version 3 JSON has; rows of other versions break none of these rules."""
+    is_v3 = F.coalesce(F.startswith("version", F.lit("3")), F.lit(False))
     inexact = F.col("negotiated_percentage").isNotNull() | _given(F.col("negotiated_algorithm"))
     count = F.col("count")
     amounts = F.array("median_amount", "percentile_10th", "percentile_90th")
-    return {
+    rules = {
         "percentage or algorithm has a count": inexact & _missing(count),
         "count above zero has median and percentiles": inexact
         & (F.coalesce(count, F.lit("")) != "0")
@@ -119,6 +120,7 @@ def version_3_rules() -> Rules:
         "count has a valid form": _given(count) & ~count.rlike(fixed.COUNT_PATTERN),
         "amounts are positive": _not_positive("median_amount", "percentile_10th", "percentile_90th"),
     }
+    return {name: is_v3 & condition for name, condition in rules.items()}
 
 
 def csv_code_rules() -> Rules:
