@@ -687,16 +687,20 @@ def write_hospital_json_files(documents: DataFrame, path: str, files: int = 8) -
     write_json_files(headers, {"standard_charge_information": items, "modifier_information": modifiers}, path)
 
 
+def _write_one_json(entries: DataFrame, path: str, opening: str, closing: str) -> None:
+    """One JSON text of (at, text) entries, a line each."""
+    first = entries.agg(F.min("at").alias("_first")).scalar()
+    lines = entries.select(F.lit(1).alias("part"), "at", F.concat(F.when(F.col("at") == first, "").otherwise(","), "text").alias("value"))
+    end = entries.agg(F.min("at").alias("at"))
+    for part, text in ((0, opening), (2, closing)):
+        lines = lines.unionByName(end.select(F.lit(part).alias("part"), "at", F.lit(text).alias("value")))
+    lines.coalesce(1).sortWithinPartitions("part", "at").select("value").write.text(path)
+
+
 def write_npi_list(npis: DataFrame, path: str) -> None:
-    """A JSON array of objects, one a line."""
-    header = npis.agg(F.count("*")).select(F.lit(0).alias("file"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("npi"))
-    lines = npis.select(F.lit(0).alias("file"), F.lit(1).alias("part"), "npi")
-    first = npis.agg(F.min("npi").alias("_first")).scalar()
-    text = F.when(F.col("part") == 0, "[").when(F.col("part") == 2, "]").otherwise(
-        F.concat(F.when(F.col("npi") == first, "").otherwise(","), F.lit('{"npi":"'), F.col("npi").cast("string"), F.lit('"}'))
-    )
-    ends = header.unionByName(header.withColumn("part", F.lit(2)))
-    lines.unionByName(ends).coalesce(1).sortWithinPartitions("part", "npi").select(text.alias("value")).write.text(path)
+    """A JSON array of objects."""
+    text = F.concat(F.lit('{"npi":"'), F.col("npi").cast("string"), F.lit('"}'))
+    _write_one_json(npis.select(F.col("npi").alias("at"), text.alias("text")), path, "[", "]")
 
 
 # --- plan matching -----------------------------------------------------------------------------
@@ -746,6 +750,32 @@ def match_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def aliased_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same consumers: every other one knows the issuer by an alias, some name their employer instead of its EIN."""
+    key = F.col("input_id")
+    brand = F.element_at(F.split("issuer_name", " "), -1)
+    return (
+        match_inputs(spark, sf_dir)
+        .withColumn("issuer_name", F.when(key % 2 == 0, _text("Mutual ", brand)).otherwise(F.col("issuer_name")))
+        .withColumn("employer_name", F.when(key % 6 == 3, _text("Employer No. ", key)))
+    )
+
+
+def write_issuer_aliases(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``{"17": ["Mutual 17", "17 Group"], ...}``: every issuer by its number."""
+    number = F.substring("p_brand", 7, 5)
+    issuers = table(spark, sf_dir, "part").select(number.alias("at")).distinct()
+    names = F.to_json(F.array(_text("Mutual ", F.col("at")), _text(F.col("at"), " Group")))
+    _write_one_json(issuers.select("at", F.concat(F.lit('"'), "at", F.lit('":'), names).alias("text")), path, "{", "}")
+
+
+def write_employer_eins(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``{"Employer No. 3": "12-0000030", ...}``: suppliers as employers."""
+    key = F.col("s_suppkey")
+    text = _text('"Employer No. ', key, '":"12-', F.lpad((key * 10).cast("string"), 7, "0"), '"')
+    _write_one_json(table(spark, sf_dir, "supplier").select(key.alias("at"), text.alias("text")), path, "{", "}")
+
+
 # --- small inputs --------------------------------------------------------------------------------
 
 

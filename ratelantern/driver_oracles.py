@@ -365,6 +365,22 @@ placed AS (
 SELECT input_id, rank, plan_id_type, plan_id, match_score, match_type FROM placed WHERE rank <= 5
 """
 
+_MATCH_056 = _MATCH.replace(">= 0.5 ", ">= 0.56 ")
+# Every other input knows its issuer by an alias, so only the issuer's number can agree.
+_MATCH_ALIASES = (
+    _MATCH.replace(
+        "CASE WHEN s_suppkey % 6 = 0 THEN '12'", "CASE WHEN s_suppkey % 6 IN (0, 3) THEN '12'"
+    )
+    .replace(
+        _plain("replace(p_brand, '#', ' ')") + " AS issuer",
+        "CASE WHEN s_suppkey % 2 = 0 THEN 'mutual ' || substr(p_brand, 7, 5) ELSE "
+        + _plain("replace(p_brand, '#', ' ')")
+        + " END AS issuer, CASE WHEN s_suppkey % 2 = 0 THEN substr(p_brand, 7, 5) END AS alias_of",
+    )
+    .replace("AS issuer,\n    CASE WHEN p_partkey", "AS issuer, substr(p_brand, 7, 5) AS issuer_id,\n    CASE WHEN p_partkey")
+    .replace("AS same_issuer", "OR coalesce(i.alias_of = p.issuer_id, false) AS same_issuer")
+)
+
 _HISTORY = """
 WITH per_year AS (
   SELECT o_custkey, year(o_orderdate) AS year, count(*) AS orders,
@@ -804,3 +820,11 @@ ORACLES["csv_code_conformance"] = _report(
     "records",
     "source_file,",
 )
+
+ORACLES["plan_match_similarity_056"] = _MATCH_056
+ORACLES["plan_match_aliases"] = _MATCH_ALIASES
+ORACLES["plan_by_id"] = f"""{_TOC}
+SELECT 'hios' AS plan_id_type, '000000007' AS plan_id, p_name || ' ' || p_type AS plan_name,
+  replace(p_brand, '#', ' ') || ' Health' AS issuer_name, (['NY', 'CA', 'TX', 'FL', 'WA'])[p_partkey % 5 + 1] AS state
+FROM part WHERE p_partkey = 7
+UNION ALL SELECT plan_id_type, plan_id, min(plan_name), min(issuer_name), NULL FROM listed WHERE plan_id = '000000007' GROUP BY plan_id_type, plan_id"""

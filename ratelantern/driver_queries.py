@@ -23,7 +23,7 @@ from ratelantern.session import shared_folder, write_stage
 from ratelantern.sinks import gold, writers
 from ratelantern.sources import toc as toc_source
 from ratelantern.sources.charges import ledger_summary, load_directory, read_charges
-from ratelantern.sources.lookups import read_npi_allow_list
+from ratelantern.sources.lookups import read_employer_eins, read_issuer_aliases, read_npi_allow_list
 from ratelantern.streaming import ingest
 from ratelantern.sources import hospital_csv, hospital_json, in_network
 
@@ -752,15 +752,42 @@ def metric_range(spark, sf_dir):
     return profiles.metric_range(metric_history(spark, sf_dir), "o_custkey")
 
 
+def _matches(found: DataFrame) -> DataFrame:
+    return _rounded(found, 6, "match_score").select(
+        "input_id", "rank", "plan_id_type", "plan_id", "match_score", "match_type"
+    )
+
+
 def plan_match_topk(spark, sf_dir):
+    index, inputs = adapters.match_index(spark, sf_dir), adapters.match_inputs(spark, sf_dir)
+    return _matches(matching.find_plans(index, inputs, matching.MatchConfig(max_results=5)))
+
+
+def plan_match_similarity_056(spark, sf_dir):
+    """A similarity whose products with whole numbers are no whole numbers."""
+    index, inputs = adapters.match_index(spark, sf_dir), adapters.match_inputs(spark, sf_dir)
+    return _matches(matching.find_plans(index, inputs, matching.MatchConfig(max_results=5, similarity=0.56)))
+
+
+def plan_match_aliases(spark, sf_dir):
+    """Issuers by aliases and employers by name, both from files."""
+    aliases = _written(spark, sf_dir, "aliases", lambda path: adapters.write_issuer_aliases(spark, sf_dir, path))
+    employers = _written(spark, sf_dir, "employers", lambda path: adapters.write_employer_eins(spark, sf_dir, path))
     found = matching.find_plans(
         adapters.match_index(spark, sf_dir),
-        adapters.match_inputs(spark, sf_dir),
+        adapters.aliased_inputs(spark, sf_dir),
         matching.MatchConfig(max_results=5),
+        read_issuer_aliases(spark, f"{aliases}/part*"),
+        read_employer_eins(spark, f"{employers}/part*"),
     )
-    return _rounded(found, 6, "match_score").select(
-        "input_id", "rank", "plan_id_type", "plan_id", "match_score", "match_type"
-    )
+    return _matches(found)
+
+
+def plan_by_id(spark, sf_dir):
+    """The plans of the index that have one id: a published one and an employer's."""
+    plans = toc.plans(_structures(spark, sf_dir))
+    index = matching.plan_index(adapters.match_index(spark, sf_dir).where("plan_id_type = 'hios'"), plans)
+    return matching.plan_by_id(index, "000000007").select("plan_id_type", "plan_id", "plan_name", "issuer_name", "state")
 
 
 def plan_index_stats(spark, sf_dir):
@@ -829,7 +856,7 @@ QUERIES: dict[str, Query] = {
             npi_filtered_rates, npi_filtered_providers, rates_join_providers, embedded_groups,
             conversion_stats, csv_conversion_stats, payer_charge_keys, tall_parse, wide_unpivot, json_expand, charge_conversion_stats,
             modifier_payers, toc_files, in_network_files, hospital_json_files, star_files, charges_adjacent, load_date, date_fallback, flex_numbers, utf8_repair, metric_history,
-            metric_range, plan_match_topk, plan_index_stats, conformance_report,
+            metric_range, plan_match_topk, plan_match_similarity_056, plan_match_aliases, plan_by_id, plan_index_stats, conformance_report,
             toc_conformance, rate_conformance, provider_conformance, json_conformance,
             conformance_breaks, csv_code_conformance,
         )

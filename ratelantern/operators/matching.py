@@ -149,7 +149,9 @@ def similar_names(
 
     Two sets of words with a similarity of at least ``t`` share one of the rarest
     ``n - ceil(t n) + 1`` words of each (prefix filtering); if one contains the other, the
-    rarest word of the smaller is in the larger.
+    rarest word of the smaller is in the larger. Without containment a meeting counts only if
+    sizes and places leave room for enough shared words: at the rarest word they share, no more
+    than what follows it in either can be shared as well.
     """
 
     def worded(df: DataFrame, name: str) -> DataFrame:
@@ -183,13 +185,17 @@ def similar_names(
     in_prefix = F.col("place") <= F.col("n") - needed + 1
     left_words, right_words = rarest(left, "input_name"), rarest(right, "plan_name")
     on = [*block, "word"]
-    left_all, right_all = left_words.drop("place", "n"), right_words.drop("place", "n")
-    left_rare = left_words.where(in_prefix).drop("place", "n")
-    right_rare = right_words.where(in_prefix).drop("place", "n")
+    left_rare, right_rare = left_words.where(in_prefix), right_words.where(in_prefix)
     if containment:
+        left_all, right_all = left_words.drop("place", "n"), right_words.drop("place", "n")
+        left_rare, right_rare = left_rare.drop("place", "n"), right_rare.drop("place", "n")
         met = left_all.join(right_rare, on).unionByName(left_rare.join(right_all, on))
     else:
-        met = left_rare.join(right_rare, on)
+        other = right_rare.withColumnsRenamed({"place": "other_place", "n": "other_n"})
+        room = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+        # shared / (n + other_n - shared) >= t
+        shared = F.ceil((F.col("n") + F.col("other_n")) * similarity / (1 + similarity) - 1e-9)
+        met = left_rare.join(other, on).where(room >= shared)
     a, b = F.col("input_name"), F.col("plan_name")
     enough = word_similarity(a, b) >= similarity
     if containment:

@@ -1,7 +1,9 @@
 """Session defaults and the shared folder for intermediate tables."""
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +12,13 @@ def build_session(app_name: str = "ratelantern", **settings: str) -> SparkSessio
     """A session with the settings the jobs here are tuned for.
 
     Shuffle partitions start high and adaptive execution merges the small ones, so one
-    setting serves both a laptop and a large cluster.
+    setting serves both a laptop and a large cluster. Python workers of a local session find this
+    package even if only ``sys.path`` names it here; on a cluster it has to be installed.
     """
+    root = str(Path(__file__).resolve().parents[1])
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")

@@ -10,6 +10,7 @@ from test_star import FOUR, charges
 
 from ratelantern.operators import star
 from ratelantern.operators.charges import conversion_stats, csv_charges
+from ratelantern.session import write_stage
 from ratelantern.sources.charges import ledger_summary, load_directory
 from ratelantern.sources.hospital_csv import input_counts, read_records
 from ratelantern.streaming import ingest
@@ -22,11 +23,10 @@ TWICE = META + (
 
 
 def keys(spark, path, **options):
-    found = csv_charges(read_records(spark, path, **options))
-    return {
-        tuple(r)
-        for r in star.payer_charges(star.with_ids(found)).select("payer_charge_id").collect()
-    }, {(r.source_file.split("/")[-1], r.description, r.row_ord, r.payer_ord) for r in found.collect()}
+    found = write_stage(star.with_ids(csv_charges(read_records(spark, path, **options))), "keyed")
+    ids = {r.payer_charge_id for r in star.payer_charges(found).select("payer_charge_id").collect()}
+    places = found.select("source_file", "description", "row_ord", "payer_ord").collect()
+    return ids, {(r.source_file.split("/")[-1], *r[1:]) for r in places}
 
 
 def test_positions_do_not_depend_on_splits_or_neighbours(spark, write, tmp_path):
