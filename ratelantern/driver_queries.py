@@ -277,7 +277,7 @@ def dim_incremental(spark, sf_dir):
     def load(path: str, batches: int) -> None:
         for n in range(batches):
             batch = write_stage(star.codes(rows.where(F.pmod(F.xxhash64("row_ord"), F.lit(batches)) == n)), "codes-batch")
-            ingest.add_to_dimension(spark, path, "codes", n, batch)
+            ingest.add_to_dimension(spark, path, "codes", n, batch, characters=1)
 
     loaded = []
     for batches in (1, 10):

@@ -9,7 +9,7 @@ Keys of shared dimensions are stored in buckets by the first characters of their
 compares its keys with earlier ones of the buckets it touches; the other folders are not read.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
@@ -26,7 +26,7 @@ SHARED = {
     "payers": "payer_id string, name string",
     "plans": "plan_id string, name string",
 }
-# 16 ^ 2 buckets.
+# Characters of a key that name its bucket: 16 ^ 2 buckets. The same for all batches of a dimension.
 BUCKET_CHARACTERS = 2
 _PROVENANCE = ("source_file", "row_ord", "row_chunk")
 
@@ -51,29 +51,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def _bucket(key: str):
+def _bucket(key: str, characters: int) -> Column:
     # With a letter in front, no folder name looks like a number.
-    return F.concat(F.lit("b"), F.substring(key, 1, BUCKET_CHARACTERS))
+    return F.concat(F.lit("b"), F.substring(key, 1, characters))
 
 
-def earlier_keys(spark: SparkSession, star_path: str, name: str, batch: int, incoming: DataFrame) -> DataFrame | None:
+def earlier_keys(
+    spark: SparkSession, star_path: str, name: str, batch: int, incoming: DataFrame, characters: int = BUCKET_CHARACTERS
+) -> DataFrame | None:
     """Keys of earlier batches in the buckets of ``incoming`` (None: nothing is loaded yet)."""
     if not _exists(spark, f"{star_path}/{name}"):
         return None
     key = incoming.columns[0]
     # No more than there are buckets.
-    touched = [r.bucket for r in incoming.select(_bucket(key).alias("bucket")).distinct().collect()]
+    touched = [r.bucket for r in incoming.select(_bucket(key, characters).alias("bucket")).distinct().collect()]
     known = read_dimension(spark, star_path, name)
     return known.where(F.col("bucket").isin(touched) & (F.col("batch") < batch)).select(key)
 
 
-def add_to_dimension(spark: SparkSession, star_path: str, name: str, batch: int, incoming: DataFrame) -> None:
+def add_to_dimension(
+    spark: SparkSession, star_path: str, name: str, batch: int, incoming: DataFrame, characters: int = BUCKET_CHARACTERS
+) -> None:
     """Add the keys of a batch that no earlier one had; a repeated batch replaces what it wrote."""
     key = incoming.columns[0]
-    earlier = earlier_keys(spark, star_path, name, batch, incoming)
+    earlier = earlier_keys(spark, star_path, name, batch, incoming, characters)
     new = incoming if earlier is None else incoming.join(earlier, key, "left_anti")
     (
-        new.withColumn("bucket", _bucket(key))
+        new.withColumn("bucket", _bucket(key, characters))
         .repartition("bucket")
         .sortWithinPartitions("bucket", key)
         .write.mode("overwrite")
