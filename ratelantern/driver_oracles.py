@@ -828,3 +828,9 @@ SELECT 'hios' AS plan_id_type, '000000007' AS plan_id, p_name || ' ' || p_type A
   replace(p_brand, '#', ' ') || ' Health' AS issuer_name, (['NY', 'CA', 'TX', 'FL', 'WA'])[p_partkey % 5 + 1] AS state
 FROM part WHERE p_partkey = 7
 UNION ALL SELECT plan_id_type, plan_id, min(plan_name), min(issuer_name), NULL FROM listed WHERE plan_id = '000000007' GROUP BY plan_id_type, plan_id"""
+
+ORACLES["json_conversion_stats"] = f"""{_HOSPITAL_ROWS}
+SELECT 'order-' || o_orderkey AS source_file, CAST(1 AS BIGINT) AS input_records, CAST(count(r.source_file) AS BIGINT) AS charge_rows,
+  CAST(count(payer_name) AS BIGINT) AS payer_rows,
+  CAST(count(DISTINCT CASE WHEN payer_name IS NOT NULL THEN payer_name || '|' || plan_name END) AS BIGINT) AS payer_plan_pairs
+FROM orders LEFT JOIN rows_ r ON r.source_file = 'order-' || o_orderkey GROUP BY o_orderkey"""

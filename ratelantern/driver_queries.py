@@ -491,7 +491,7 @@ def _hospital_csvs(spark, sf_dir):
 def csv_conversion_stats(spark, sf_dir):
     """CSV files written and read back: data records read, charge rows, payers, per file."""
     records = hospital_csv.read_records(spark, _hospital_csvs(spark, sf_dir))
-    stats = charge_ops.conversion_stats(charge_ops.csv_charges(records), hospital_csv.input_counts(records))
+    stats = charge_ops.conversion_stats(charge_ops.csv_charges(records), charge_ops.input_counts(records))
     number = F.regexp_extract("source_file", r"file=(\d+)", 1).cast("long")
     return stats.select(number.alias("file"), "input_records", "charge_rows", "payer_rows", "payer_plan_pairs")
 
@@ -551,6 +551,12 @@ def charge_conversion_stats(spark, sf_dir):
     return charge_ops.conversion_stats(charge_ops.json_charges(_hospital_items(spark, sf_dir)))
 
 
+def json_conversion_stats(spark, sf_dir):
+    """The same with the items read; documents whose item has no charge count too."""
+    items = _hospital_items(spark, sf_dir)
+    return charge_ops.conversion_stats(charge_ops.json_charges(items), charge_ops.input_counts(items))
+
+
 def modifier_payers(spark, sf_dir):
     documents = _hospital_documents(spark, sf_dir)
     tables = star.modifier_tables(hospital_json.modifiers(documents))
@@ -854,7 +860,7 @@ QUERIES: dict[str, Query] = {
             charge_values, payer_details, item_drug_info, item_notes, toc_plans,
             toc_plans_market, toc_urls, toc_stats, rates_flat, providers_flat,
             npi_filtered_rates, npi_filtered_providers, rates_join_providers, embedded_groups,
-            conversion_stats, csv_conversion_stats, payer_charge_keys, tall_parse, wide_unpivot, json_expand, charge_conversion_stats,
+            conversion_stats, csv_conversion_stats, payer_charge_keys, tall_parse, wide_unpivot, json_expand, charge_conversion_stats, json_conversion_stats,
             modifier_payers, toc_files, in_network_files, hospital_json_files, star_files, charges_adjacent, load_date, date_fallback, flex_numbers, utf8_repair, metric_history,
             metric_range, plan_match_topk, plan_match_similarity_056, plan_match_aliases, plan_by_id, plan_index_stats, conformance_report,
             toc_conformance, rate_conformance, provider_conformance, json_conformance,

@@ -259,6 +259,11 @@ def json_charges(items: DataFrame) -> DataFrame:
     )
 
 
+def input_counts(records: DataFrame) -> DataFrame:
+    """(source_file, input_records): data records of CSV files, or items of JSON files, per file."""
+    return records.groupBy("source_file").agg(F.count("*").alias("input_records"))
+
+
 def conversion_stats(charges: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
     """Rows, rows with a payer, and payer/plan pairs per file.
 

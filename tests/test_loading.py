@@ -9,10 +9,10 @@ from test_hospital_files import META, TALL, WIDE
 from test_star import FOUR, charges
 
 from ratelantern.operators import star
-from ratelantern.operators.charges import conversion_stats, csv_charges
+from ratelantern.operators.charges import conversion_stats, csv_charges, input_counts
 from ratelantern.session import write_stage
 from ratelantern.sources.charges import ledger_summary, load_directory
-from ratelantern.sources.hospital_csv import input_counts, read_records
+from ratelantern.sources.hospital_csv import read_records
 from ratelantern.streaming import ingest
 
 MANY = TALL + "".join(f"Item {i},both,{i},CPT,,,{i},,P{i % 3},,,,,,\n" + "\n" * (i % 3) for i in range(3000))
