@@ -16,7 +16,7 @@ Words are local to a task and their ids are remembered there, so that texts and
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +24,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelantern.llm.bpe import MergeRule
-from ratelantern.llm.lattice import SPACE, PieceTable
+from ratelantern.llm.lattice import BASE, SPACE, PieceTable
 
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MAX_KNOWN = 300_000
+#: Pairs of pieces whose verdict is remembered; a pair takes the slot of one met before.
+PAIR_BITS = 20
+PAIR_SLOTS = 1 << PAIR_BITS
+#: Words above this length are folded one by one.
+LONG = 128
 
 
 class Encoder:
     def __init__(self, path: str):
         self.table = PieceTable(path)
         self.rule = MergeRule({p: -s for p, s in self.table.scores.items()})
-        self.known: dict[str, dict[str, tuple[int, ...]]] = {"": {}, SPACE: {}}
-        self.pairs: dict[int, bool] = {}
         self.bytes_of = {int(i): p.replace(SPACE, " ").encode() for i, p in zip(self.table.ids, self.table.pieces, strict=True)}
         self.bytes_of |= self.table.begin_bytes
+        self.pair_keys = np.full(PAIR_SLOTS, -1, dtype=np.int64)
+        self.pair_fits = np.zeros(PAIR_SLOTS, dtype=bool)
+        self.forget()
+
+    def forget(self) -> None:
+        """Words known by the mark they start with and their rows: row ``r`` has the ids from ``bounds[r]`` to ``bounds[r + 1]``."""
+        self.known: dict[str, dict[str, int]] = {"": {}, SPACE: {}}
+        self.bounds = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.wrong: set[int] = set()
 
     def words(self, text: str) -> tuple[str, list[str]]:
         """The words of a text, and the mark that each is understood to start with."""
@@ -47,74 +60,143 @@ class Encoder:
             return "", WORD.findall(SPACE + text.replace(" ", SPACE))
         return SPACE, text.split(" ")
 
-    def fold(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word: edges are taken by end, and each position keeps the edge of its valid path."""
-        table, pairs = self.table, self.pairs
-        lattice = table.edges(words)
-        pieces, unknown, rows = table.pieces, table.unknown, table.unknown + 2
-        order = np.argsort(lattice.word, kind="stable")
-        start, end, piece = (x[order].tolist() for x in (lattice.start, lattice.end, lattice.piece))
-        bounds = np.searchsorted(lattice.word[order], np.arange(len(words) + 1)).tolist()
-        ids_of = table.ids.tolist()
-        found = []
-        for w, word in enumerate(words):
-            # Last piece of the path to each position (-1: no path) and where it starts; the start
-            # of the word and an unknown character put no condition on what follows.
-            last, came = [-1] * (len(word) + 1), [0] * (len(word) + 1)
-            last[0] = unknown
-            for k in range(bounds[w], bounds[w + 1]):
-                e = end[k]
-                if last[e] >= 0:
-                    continue
-                s = start[k]
-                left = last[s]
-                if left < 0:
-                    continue
-                p = piece[k]
-                if p != unknown:
-                    key = left * rows + p
-                    fits = pairs.get(key)
-                    if fits is None:
-                        fits = pairs[key] = self.rule.follows(None if left == unknown else pieces[left], pieces[p])
-                    if not fits:
-                        continue
-                last[e], came[e] = p, s
-            at, ids = len(word), []
-            while at:
-                p, s = last[at], came[at]
-                if p == unknown:
-                    ids.extend(table.byte_ids[b] for b in reversed(word[s:at].encode()))
-                else:
-                    ids.append(ids_of[p])
-                at = s
-            found.append(tuple(reversed(ids)))
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each piece ``right`` may follow the piece ``left``; pairs met before are looked up."""
+        keys = left * (self.table.unknown + 2) + right
+        slots = (keys.astype(np.uint64) * BASE >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        fits = self.pair_fits[slots]
+        new = np.nonzero(self.pair_keys[slots] != keys)[0]
+        if len(new):
+            pairs, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            pieces, unknown = self.table.pieces, self.table.unknown
+            made = np.array([self.rule.follows(None if x == unknown else pieces[x], pieces[y]) for x, y in zip(left[new[first]].tolist(), right[new[first]].tolist(), strict=True)])
+            fits[new] = made[back]
+            self.pair_keys[slots[new[first]]], self.pair_fits[slots[new[first]]] = pairs, made
+        return fits
+
+    def fold(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Words are folded together, position by position; the few long ones one by one."""
+        found: list[list[int]] = [[]] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            owner, piece, ends = self.paths([words[i] for i in short])
+            bounds = np.searchsorted(owner, np.arange(len(short) + 1)).tolist()
+            ids = np.append(self.table.ids, -1)[piece].tolist()
+            for i, a, b in zip(short, bounds[:-1], bounds[1:], strict=True):
+                found[i] = ids[a:b]
+            for w in set(owner[piece == self.table.unknown].tolist()):
+                i, places = short[w], ends[bounds[w] : bounds[w + 1]].tolist()
+                found[i] = [x for known, end in zip(found[i], places, strict=True) for x in ([known] if known >= 0 else self.byte_ids(words[i][end - 1]))]
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                found[i] = self.fold_one(word)
         return found
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        result: list[np.ndarray | None] = []
-        by_text = [None if t is None else self.words(t) for t in texts]
+    def byte_ids(self, letter: str) -> list[int]:
+        return [self.table.byte_ids[b] for b in letter.encode()]
+
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, piece and end of all edges on the valid paths, in order."""
+        unknown = self.table.unknown
+        lattice = self.table.edges(words)
+        base = np.cumsum(lattice.lengths + 1) - (lattice.lengths + 1)
+        # Last piece of the path to each position (-1: no path) and where it starts; the start
+        # of the word and an unknown character put no condition on what follows.
+        last = np.full(int((lattice.lengths + 1).sum()), -1, dtype=np.int64)
+        came = np.zeros(len(last), dtype=np.int64)
+        last[base] = unknown
+        source, target, piece = base[lattice.word] + lattice.start, base[lattice.word] + lattice.end, lattice.piece.astype(np.int64)
+        cuts = np.searchsorted(lattice.end, np.arange(1, int(lattice.lengths.max(initial=0)) + 2)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = a + np.nonzero(last[source[a:b]] >= 0)[0]
+            # The longest edge of each word first; words that may not take it try their next one.
+            while len(rows):
+                first = np.diff(target[rows], prepend=-1) != 0
+                tried, rows = rows[first], rows[~first]
+                fits = piece[tried] == unknown
+                fits[~fits] = self.follows(last[source[tried[~fits]]], piece[tried[~fits]])
+                tried = tried[fits]
+                last[target[tried]], came[target[tried]] = piece[tried], source[tried]
+                rows = rows[last[target[rows]] < 0]
+        owner, at = np.nonzero(lattice.lengths > 0)[0], (base + lattice.lengths)[lattice.lengths > 0]
+        steps = []
+        while len(owner):
+            steps.append((owner, at))
+            at = came[at]
+            inside = at > base[owner]
+            owner, at = owner[inside], at[inside]
+        owner, at = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (owner, at)
+        order = np.argsort(at)
+        owner, at = owner[order], at[order]
+        return owner, last[at], at - base[owner]
+
+    def fold_one(self, word: str) -> list[int]:
+        """The same for one word of any length."""
+        table = self.table
+        lattice = table.edges([word])
+        pieces, unknown = table.pieces, table.unknown
+        last, came = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        last[0] = unknown
+        for s, e, p in zip(lattice.start.tolist(), lattice.end.tolist(), lattice.piece.tolist(), strict=True):
+            left = last[s]
+            if last[e] >= 0 or left < 0:
+                continue
+            if p == unknown or self.rule.follows(None if left == unknown else pieces[left], pieces[p]):
+                last[e], came[e] = p, s
+        at, ids = len(word), []
+        while at:
+            p, s = last[at], came[at]
+            if p == unknown:
+                ids.extend(reversed(self.byte_ids(word[s:at])))
+            else:
+                ids.append(int(table.ids[p]))
+            at = s
+        return ids[::-1]
+
+    def learn(self, mark: str, words: list[str]) -> None:
+        """Fold words not met before and see whether their ids decode to them."""
+        known = self.known[mark]
+        for i in range(0, len(words), 20_000):
+            part = [mark + w for w in words[i : i + 20_000]]
+            found = self.fold(part)
+            first = len(self.bounds) - 1
+            known.update(zip(words[i : i + 20_000], range(first, first + len(part)), strict=True))
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), dtype=np.int32)))
+            letters = self.bytes_of.__getitem__
+            for row, (word, ids) in enumerate(zip(part, found, strict=True), first):
+                if b"".join(map(letters, ids)) != word.replace(SPACE, " ").encode():
+                    self.wrong.add(row)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list[bool | None]]:
+        """Ids of each text, and whether all its words decode to themselves."""
         if max(map(len, self.known.values())) > MAX_KNOWN:
-            self.known = {"": {}, SPACE: {}}
-        if len(self.pairs) > 2_000_000:
-            self.pairs = {}
-        # Words not met before, of all texts together.
+            self.forget()
+        by_text = [None if t is None else self.words(t) for t in texts]
+        rows = {}
         for mark, known in self.known.items():
-            new: set[str] = set()
-            for found in by_text:
-                if found is not None and found[0] == mark:
-                    new.update(found[1])
-            new.difference_update(known)
-            todo = list(new)
-            for i in range(0, len(todo), 20_000):
-                part = todo[i : i + 20_000]
-                known.update(zip(part, self.fold([mark + w for w in part]), strict=True))
+            own = [found[1] for found in by_text if found is not None and found[0] == mark]
+            at = np.fromiter(map(known.get, chain.from_iterable(own), repeat(-1)), dtype=np.int64)
+            if (at < 0).any():
+                self.learn(mark, list(dict.fromkeys(w for w, r in zip(chain.from_iterable(own), at.tolist(), strict=True) if r < 0)))
+                at = np.fromiter(map(known.__getitem__, chain.from_iterable(own)), dtype=np.int64, count=len(at))
+            rows[mark] = at
+        result: list[np.ndarray | None] = []
+        same: list[bool | None] = []
+        used = dict.fromkeys(rows, 0)
         for found in by_text:
             if found is None:
                 result.append(None)
-            else:
-                known = self.known[found[0]]
-                result.append(np.fromiter(chain.from_iterable(map(known.__getitem__, found[1])), dtype=np.int32))
-        return result
+                same.append(None)
+                continue
+            mark, own = found
+            at = rows[mark][used[mark] : used[mark] + len(own)]
+            used[mark] += len(own)
+            begin, counts = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            ends = np.cumsum(counts)
+            result.append(self.ids[np.repeat(begin - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)])
+            same.append(not self.wrong or self.wrong.isdisjoint(at.tolist()))
+        return result, same
 
     def decode(self, ids: list[int]) -> str:
         """The text; the first mark stands for no space."""
@@ -140,7 +222,7 @@ def _lists(ids: list[np.ndarray | None]) -> pa.Array:
 
 
 def encode(docs: DataFrame, model: str, rows_at_once: int = 256) -> DataFrame:
-    """doc_id, ids, n_ids and round_trip (decoding the ids gives the text again)."""
+    """doc_id, ids, n_ids and round_trip (decoding the ids gives the text again, seen word by word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
@@ -148,8 +230,7 @@ def encode(docs: DataFrame, model: str, rows_at_once: int = 256) -> DataFrame:
             for i in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(i, rows_at_once)
                 texts = batch.column("text").to_pylist()
-                ids = enc.encode(texts)
-                same = [None if t is None else enc.decode(x.tolist()) == t.replace(SPACE, " ") for t, x in zip(texts, ids, strict=True)]
+                ids, same = enc.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), _lists(ids), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())],
                     ["doc_id", "ids", "n_ids", "round_trip"],
