@@ -87,24 +87,25 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], default_weight: int = 1,
     """
     if default_weight < 1 or min(weights.values(), default=1) < 1 or block_docs < 1:
         raise ValueError("weights and block size must be at least 1")
-    docs = docs.drop(*ADDED)
+    kept = docs.drop(*ADDED).columns
+    # All columns of the input travel in one, so that none of their names meets a helper's.
+    docs = docs.select("doc_id", "source", F.struct(*kept).alias("row"))
     period = one_period(source_blocks(docs, weights, default_weight, block_docs)).select(
         F.col("source").alias("_source"), F.col("k").alias("_k"), F.col("slot").alias("_slot"), "q", "weight", "blocks"
     )
     per_source = period.where("_k = 0").select("_source", "q", "weight", "blocks")
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10)
-    columns = docs.columns
     # At most one row per source, then one per slot of the period: both bounded by MAX_PERIOD.
     placed = (
         docs.join(F.broadcast(per_source), docs["source"].eqNullSafe(F.col("_source")))
         .withColumn("block", hashed.cast("long") % F.col("blocks"))
-        .select(*columns, "q", "weight", "block", (F.col("block") % F.col("weight")).alias("_at"))
+        .select("row", "source", "q", "weight", "block", (F.col("block") % F.col("weight")).alias("_at"))
     )
     slots = period.select("_source", "_k", "_slot")
     return (
         placed.join(F.broadcast(slots), placed["source"].eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_k")))
         .select(
-            *columns,
+            *[F.col("row").getField(c).alias(c) for c in kept],
             "weight",
             "block",
             (F.floor(F.col("block") / F.col("weight")) * F.col("q") + F.col("_slot")).alias("slot"),
