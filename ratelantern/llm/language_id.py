@@ -15,28 +15,28 @@ shares of languages count all documents to learn from. Prediction reads every wh
   ``doc_id``, ``text`` and (to learn) ``lang`` are read.
 """
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelantern.llm.common import id_remainder
-from ratelantern.llm.lattice import PieceTable
+from ratelantern.llm.lattice import Edges, PieceTable
 from ratelantern.session import write_stage
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Probability of a character that is no piece, the same in every language.
 UNKNOWN = 1e-7
 SMOOTHING = 0.05
 MAX_KNOWN = 300_000
-#: Words are cut after this many characters, so that sums stay within floating point range.
-WORD_PART = 48
+#: Words above this length are summed one by one, with sums rescaled at every position.
+LONG = 48
 
 _tables: dict[str, PieceTable] = {}
 
@@ -48,11 +48,8 @@ def piece_table(path: str) -> PieceTable:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words, marked at their start and cut into parts of bounded length."""
-    words = ["▁" + w for w in text.lower().split()]
-    if max(map(len, words), default=0) <= WORD_PART:
-        return words
-    return [w[i : i + WORD_PART] for w in words for i in range(0, len(w), WORD_PART)]
+    """Lower-case words, marked at their start."""
+    return ["▁" + w for w in text.lower().split()]
 
 
 def forward(edges, weights: np.ndarray) -> np.ndarray:
@@ -74,13 +71,60 @@ def forward(edges, weights: np.ndarray) -> np.ndarray:
 
 def word_scores(table: PieceTable, words: list[str], weights: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability per language."""
-    edges = table.edges(words)
-    alpha = forward(edges, weights)
-    return np.log(np.maximum(alpha[np.arange(len(words)), edges.lengths], 1e-300))
+    scores = np.zeros((len(words), weights.shape[1]))
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    if short:
+        edges = table.edges([words[i] for i in short])
+        alpha = forward(edges, weights)
+        scores[short] = np.log(np.maximum(alpha[np.arange(len(short)), edges.lengths], 1e-300))
+    for i, word in enumerate(words):
+        if len(word) > LONG:
+            scores[i] = long_word_sums(table, word, weights)[0][len(word)]
+    return scores
+
+
+def long_word_sums(table: PieceTable, word: str, weights: np.ndarray) -> tuple[np.ndarray, Edges]:
+    """Natural log of the sums over all segmentations of each prefix of one word, and the word's edges.
+
+    The sums that later positions reach back to are kept relative to a scale per language, which moves with the position.
+    """
+    edges = table.edges([word])
+    logs = np.zeros((len(word) + 1, weights.shape[1]))
+    cuts = np.searchsorted(edges.end, np.arange(1, len(word) + 2))
+    for end in range(1, len(word) + 1):
+        rows = slice(cuts[end - 1], cuts[end])
+        terms = logs[edges.start[rows]] + np.log(weights[edges.piece[rows]])
+        most = terms.max(axis=0)
+        logs[end] = most + np.log(np.exp(terms - most).sum(axis=0))
+    return logs, edges
+
+
+def long_word_counts(table: PieceTable, word: str, count: float, weights: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in one long word, for one language."""
+    before, edges = long_word_sums(table, word, weights)
+    w = np.log(weights[:, 0])
+    after = np.full(len(word) + 1, -np.inf)
+    after[len(word)] = 0
+    order = np.argsort(-edges.start, kind="stable")
+    cuts = np.searchsorted(-edges.start[order], -np.arange(len(word) - 1, -2, -1))
+    for start, a, b in zip(range(len(word) - 1, -1, -1), cuts[:-1], cuts[1:], strict=True):
+        rows = order[a:b]
+        terms = after[edges.end[rows]] + w[edges.piece[rows]]
+        most = terms.max()
+        after[start] = most + np.log(np.exp(terms - most).sum())
+    used = np.exp(before[edges.start, 0] + w[edges.piece] + after[edges.end] - before[len(word), 0]) * count
+    return np.bincount(edges.piece, used, minlength=len(weights))
 
 
 def expected_counts(table: PieceTable, words: list[str], counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Expected number of times each piece is used, for one language (``weights`` has one column)."""
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    if long:
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        result = expected_counts(table, [words[i] for i in short], counts[short], weights)
+        for i in long:
+            result += long_word_counts(table, words[i], counts[i], weights)
+        return result
     edges = table.edges(words)
     alpha = forward(edges, weights)[:, :, 0]
     beta = np.zeros_like(alpha)
