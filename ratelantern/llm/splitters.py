@@ -5,10 +5,10 @@ boundaries that cut this order into ranges, several per shard; ranges that turn
 cut again at boundaries sampled inside them, down to single ids. Sizes and counts of the ranges
 add up to exact offsets, so each task numbers only its own range, and a record's shard follows
 from where it lies among all bytes: shards differ by no more than a record, or than a group of
-equal texts that is kept together.
+equal texts that is kept together. The number of ranges grows with the rows.
 
 * Law ``bytes``: sizes are near equal. Equal texts share a shard unless their group is larger
-  than ``keep_together`` of a shard or fills a range that had to be cut.
+  than ``keep_together`` of a shard; larger groups are spread, so that sizes stay near equal.
 * A null text has no bytes and crc32 0; a null id sorts first. Equal rows are counted
   once while ranges are made and get slots of their own in the end. An empty table gives an empty result.
 * Only ``doc_id`` and ``text`` are read; other columns do not matter.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ratelantern.llm.common import pieces_for
 from ratelantern.session import write_stage
 
 RECORD_BYTES = 8
@@ -83,6 +84,7 @@ def shard(
     sample_per_range: int = 32,
     keep_together: float = 0.02,
     overfull: float = 4.0,
+    range_rows: int = 4_000_000,
 ) -> DataFrame:
     """One row per input row: its shard and its slot there, under law ``bytes``."""
     spark = docs.sparkSession
@@ -90,22 +92,24 @@ def shard(
     total, rows = records.agg(F.sum(F.col("size") * F.col("copies")), F.count("*")).first()
     if not rows:
         return spark.createDataFrame([], SCHEMA)
-    ranges = shards * ranges_per_shard
+    ranges = shards * max(ranges_per_shard, pieces_for(rows, shards * range_rows))
+    most_together = int(total * keep_together / shards)
     boundaries = _quantiles(_sample(records, total, ranges * sample_per_range, 0), ranges, by_id=False)
     seed = 0
     while True:
         ranged = _in_ranges(records, boundaries)
         # One row per range; their number depends on parameters only.
         held = ranged.groupBy("range").agg(
-            F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.count("*").alias("rows"), F.sum("copies").alias("all")
+            F.sum(F.col("size") * F.col("copies")).alias("bytes"),
+            F.count("*").alias("rows"),
+            F.sum("copies").alias("all"),
+            F.max(F.col("size") * F.col("copies")).alias("largest"),
         )
         held = sorted(held.collect())
-        heavy = {
-            r["range"]: max(r["bytes"] * ranges / total, r["rows"] * ranges / rows)
-            for r in held
-            if r["rows"] > 1 and max(r["bytes"] * ranges / total, r["rows"] * ranges / rows) > overfull
-        }
-        if not heavy or seed == 8:
+        # A single record can't be cut, so what counts is what lies beside the largest one.
+        loads = {r["range"]: max((r["bytes"] - r["largest"]) * ranges / total, r["rows"] * ranges / rows) for r in held if r["rows"] > 1}
+        heavy = {at: load for at, load in loads.items() if load > overfull}
+        if not heavy:
             break
         seed += 1
         inside = ranged.where(F.col("range").isin(list(heavy)))
@@ -115,6 +119,11 @@ def shard(
             amount = sum((r["rows"] if by_rows else r["bytes"]) for r in held if r["range"] in heavy)
             parts = sum(max(2, round(x)) for x in heavy.values())
             more |= set(_quantiles(_sample(weighed, amount, parts * sample_per_range, seed), parts, by_id=True))
+        # A boundary inside a group that stays together moves to the start of the group.
+        inner = sorted({key for key, id_ in more if id_ != NO_ID})
+        sizes = records.where(F.col("key").isin(inner)).groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes")).collect()
+        small = {r["key"] for r in sizes if r["bytes"] <= most_together}
+        more = {(key, NO_ID if key in small else id_) for key, id_ in more}
         if more == set(boundaries):
             break
         boundaries = sorted(more)
@@ -137,7 +146,7 @@ def shard(
         .join(offsets, "range")
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     )
-    together = F.col("group_bytes") * shards <= F.lit(int(total * keep_together))
+    together = F.col("group_bytes") <= F.lit(most_together)
     # Twice the middle of the record, or of its group, among all bytes.
     start = F.when(together, F.col("group_start")).otherwise(F.col("end") - weight + F.col("copy") * F.col("size"))
     middle = 2 * (F.col("bytes_before") + start) + F.when(together, F.col("group_bytes")).otherwise(F.col("size"))
