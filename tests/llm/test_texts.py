@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -208,3 +209,70 @@ def test_empty_tables(documents):
 def test_digest_of_query(documents):
     row = recompression.without_repeats(documents("a  b\tc")).first()
     assert hashlib.sha256(row.kept_text.encode()).hexdigest() == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_words_are_summed_over_all_segmentations(monkeypatch):
+    table = language_id.piece_table(public_tokenizers.path("piece_bpe_32k.model"))
+    weights = np.random.default_rng(4).uniform(1e-6, 1e-2, (table.unknown + 1, 2))
+    row = {p: i for i, p in enumerate(table.pieces)}
+
+    def cuts(word):
+        """All segmentations as lists of rows."""
+        if not word:
+            return [[]]
+        heads = [(n, row.get(word[:n], table.unknown if n == 1 else None)) for n in range(1, len(word) + 1)]
+        return [[h, *tail] for n, h in heads if h is not None for tail in cuts(word[n:])]
+
+    words = ["▁the", "▁house", "▁über", "▁日x", "▁aaaa"]
+    expected = np.array([np.log(sum(np.prod(weights[c], axis=0) for c in cuts(w))) for w in words])
+    uses = np.zeros(table.unknown + 1)
+    for w in words:
+        shares = [(c, np.prod(weights[c, 0])) for c in cuts(w)]
+        for c, share in shares:
+            np.add.at(uses, c, 2 * share / sum(s for _, s in shares))
+    for longest in (48, 3):
+        monkeypatch.setattr(language_id, "LONG", longest)
+        assert np.allclose(language_id.word_scores(table, words, weights), expected, rtol=1e-9)
+        assert np.allclose(language_id.expected_counts(table, words, np.full(len(words), 2.0), weights[:, :1]), uses, rtol=1e-9)
+    assert np.isfinite(language_id.word_scores(table, ["▁" + "qx" * 3000], weights)).all()
+
+
+def test_no_letter_is_no_language(documents):
+    docs = documents("the cat", "the dog", "the end", "x² ½", "² ½ _ 7", "ª", ids=[0, 2, 3, 4, 5, 6])
+    rows = {r.doc_id: r.lang_pred for r in language_id.identified(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert rows == {0: "en", 2: "en", 3: "en", 4: "en", 5: "und", 6: "en"}
+
+
+def test_scores_do_not_depend_on_packing(spark, documents, monkeypatch):
+    rng = random.Random(8)
+    docs = documents(*[" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(60)) for _ in range(80)])
+
+    def scores(partitions, words_per_task):
+        monkeypatch.setattr(context_mixing, "WORDS_PER_TASK", words_per_task)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        return {r.doc_id: r.score for r in context_mixing.scored(docs.repartition(partitions)).collect()}
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        first = scores(1, 500_000)
+        assert first == scores(3, 500_000) == scores(8, 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_mix_keeps_columns_of_any_name(documents):
+    docs = documents(*["t"] * 40, sources=[["a", None][i % 2] for i in range(40)])
+    wide = docs.selectExpr("*", "1 AS q", "2 AS blocks", "'x' AS _source", "3 AS _k", "4 AS _slot", "5 AS _at", "6 AS `row`", "7 AS slot")
+    plain, mixed = pfair.mixed(docs, {"a": 2}, 1, 4), pfair.mixed(wide, {"a": 2}, 1, 4)
+    assert {(r.doc_id, r.slot) for r in plain.collect()} == {(r.doc_id, r.slot) for r in mixed.collect()}
+    assert {tuple(r) for r in mixed.select("q", "blocks", "_source", "_k", "_slot", "_at", "row").collect()} == {(1, 2, "x", 3, 4, 5, 6)}
+
+
+@pytest.mark.parametrize("range_rows", [4_000_000, 7])
+def test_groups_of_equal_texts_share_a_shard(documents, range_rows):
+    rng = random.Random(6)
+    texts = [t for i in range(300) for t in [f"text {i} " + "y" * rng.randrange(40)] * 8] + ["z" * 20] * 900
+    shards = {}
+    for r in splitters.shard(documents(*texts), keep_together=0.3, range_rows=range_rows).collect():
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(s) == 1 for t, s in shards.items() if t[0] != "z") and len(shards["z" * 20]) > 1
