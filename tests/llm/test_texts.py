@@ -260,6 +260,53 @@ def test_scores_do_not_depend_on_packing(spark, documents, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_scores_of_rare_words_are_looked_up(documents, monkeypatch):
+    rng = random.Random(9)
+    docs = documents(*[" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(50)) for _ in range(60)], None, "", "unseen", "z" * 50_000)
+    sent = {r.doc_id: r for r in context_mixing.scored(docs).collect()}
+    monkeypatch.setattr(context_mixing, "TOP_WORDS", 3)
+    for r in context_mixing.scored(docs, part_bytes=1_000).collect():
+        assert (r.n_tokens, r.n_known, r.held_out) == (sent[r.doc_id].n_tokens, sent[r.doc_id].n_known, sent[r.doc_id].held_out)
+        assert math.isclose(r.score, sent[r.doc_id].score, rel_tol=1e-9)
+        assert math.isclose(r.base_score, sent[r.doc_id].base_score, rel_tol=1e-9)
+
+
+def test_mixer_against_brute_force():
+    """Bit by bit in plain Python: contexts as dictionaries of the bytes themselves instead of hashed slots."""
+    rng = random.Random(10)
+    words = sorted({"".join(rng.choices(["th", "on", "er", "an"], k=rng.randrange(1, 5))).encode() for _ in range(60)}) + [b""]
+    counts = np.zeros((2, context_mixing.FIRST_SLOT[-1]), dtype=np.int64)
+    for _, _, _, slots, bits in context_mixing.spelled(words):
+        for s in slots:
+            np.add.at(counts.reshape(-1), s + bits * context_mixing.FIRST_SLOT[-1], 1)
+    odds = np.rint(np.log((counts[1] + 0.4) / (counts[0] + 0.4)) * 8).astype(np.int8)
+    sure = np.digitize(counts.sum(axis=0)[context_mixing.FIRST_SLOT[3] :], [0.5, 3.5, 30.5]).astype(np.int8)
+    weights = np.array([[rng.random() / 3 for _ in range(5)] for _ in range(16)])
+    mixer = context_mixing.Mixer(odds, sure, weights)
+
+    def steps(word):
+        data = word + b" "
+        for i, byte in enumerate(data):
+            contexts = [(k, data[max(0, i - k) : i].rjust(k, b"\1")) for k in (1, 2, 3, 4)] + [(5, data[:i])]
+            for j in range(8):
+                yield [(c, j, byte >> (8 - j)) for c in contexts], byte >> (7 - j) & 1
+
+    seen = Counter((key, bit) for w in words for keys, bit in steps(w) for key in keys)
+    for word, found in zip(words, mixer.word_scores(words), strict=True):
+        logs = np.zeros(3)
+        for keys, bit in steps(word):
+            n = [(seen[k, 0], seen[k, 1]) for k in keys]
+            x = [round(math.log((b + 0.4) / (a + 0.4)) * 8) / 8 for a, b in n]
+            four, whole = (sum(sum(ab) > t for t in (0.5, 3.5, 30.5)) for ab in n[3:])
+            z = context_mixing.VARIANTS @ (weights[four * 4 + whole] * x)
+            logs -= np.log10(1 + np.exp(np.clip(-z if bit else z, -12, 12)))
+        assert np.allclose(found, logs, rtol=1e-4)
+    new = 0.25
+    n = np.array([i % 3 for i in range(len(words))])
+    shares = 10.0 ** mixer.token_scores(words, n, 100, new)
+    assert np.allclose(shares, (1 - new) * n[:, None] / 100 + new * 10.0 ** mixer.word_scores(words))
+
+
 def test_mix_keeps_columns_of_any_name(documents):
     docs = documents(*["t"] * 40, sources=[["a", None][i % 2] for i in range(40)])
     wide = docs.selectExpr("*", "1 AS q", "2 AS blocks", "'x' AS _source", "3 AS _k", "4 AS _slot", "5 AS _at", "6 AS `row`", "7 AS slot")
