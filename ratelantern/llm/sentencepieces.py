@@ -221,8 +221,11 @@ def _lists(ids: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=missing)
 
 
-def encode(docs: DataFrame, model: str, rows_at_once: int = 256) -> DataFrame:
-    """doc_id, ids, n_ids and round_trip (decoding the ids gives the text again, seen word by word)."""
+def encode(docs: DataFrame, model: str, rows_at_once: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, n_ids, round_trip (decoding the ids gives the text again, seen word by word) and the columns to ``keep``."""
+    kept = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    made = ["doc_id", "ids", "n_ids", "round_trip"]
+    schema = ", ".join(["doc_id long, ids array<int>, n_ids long, round_trip boolean", *(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
@@ -232,11 +235,17 @@ def encode(docs: DataFrame, model: str, rows_at_once: int = 256) -> DataFrame:
                 texts = batch.column("text").to_pylist()
                 ids, same = enc.encode(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), _lists(ids), pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())],
-                    ["doc_id", "ids", "n_ids", "round_trip"],
+                    [
+                        batch.column("doc_id"),
+                        _lists(ids),
+                        pa.array([None if x is None else len(x) for x in ids], pa.int64()),
+                        pa.array(same, pa.bool_()),
+                        *(batch.column(c) for c in keep),
+                    ],
+                    [*made, *keep],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+    return kept.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

@@ -7,6 +7,8 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from ratelantern.llm import pfair
+from ratelantern.llm.queries import MIX_BLOCK_DOCS, MIX_WEIGHTS
 from test_texts import components_of, removed
 
 WORDS = {"en": "the and of that with from this have which were".split(), "de": "der und nicht eine auch sich wird sein oder nach".split()}
@@ -81,6 +83,22 @@ def test_mixing_and_encoding_keep_all_rows(spark, corpus):
     expected = [(r.doc_id, None if r.text is None else library.encode(r.text)) for r in corpus.collect()]
     encoded = pipeline.encode_pieces(spark, mixed, "").collect()
     assert sorted(((r.doc_id, r.ids) for r in encoded), key=repr) == sorted(expected, key=repr)
+    slots = {(r.doc_id, r.n_ids): r.slot for r in encoded}
+    schedule = pfair.mixed(corpus, MIX_WEIGHTS, 1, MIX_BLOCK_DOCS).collect()
+    assert len({r.slot for r in schedule}) > 1
+    assert sorted((str(r.doc_id), r.slot) for r in schedule) == sorted((str(r.doc_id), r.slot) for r in encoded)
+    # The files of the stage before are in the same order.
+    order = [slots[r.doc_id, None if r.text is None else len(library.encode(r.text))] for r in mixed.collect()]
+    assert order == sorted(order)
+
+
+def test_rows_that_share_an_id_are_one_document(spark, documents):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(30)) for _ in range(4)]
+    docs = documents(*texts, None, ids=[1, 1, 2, None, 1])
+    for _ in range(2):
+        rows = pipeline.near_dedup(spark, docs.repartition(3), "").collect()
+        assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted([(1, min(texts[:2])), (2, texts[2]), (None, texts[3])], key=repr)
 
 
 def test_columns_beyond_those_of_documents(spark, corpus):
