@@ -18,6 +18,8 @@ links per vector and a spanning forest of its links, never all pairs.
 * Equal rows count once and are returned one by one; rows with one id share its result.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +36,10 @@ MAX_CODES = 256
 SAMPLE = 8192
 BLOCK = 1024
 PROBES = 4096
+#: Rows are placed together while their visits to the whole grid would be this many numbers at most.
+PLACED_AT_ONCE = 1 << 22
+#: Visiting rows that are handed on together, each with its vector.
+VISITS_AT_ONCE = 1 << 13
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -77,6 +83,18 @@ def visits(rows: np.ndarray, books: tuple[np.ndarray, np.ndarray], bound: float)
     return own, row[other], cell[other]
 
 
+def placed_rows(part: pd.DataFrame, books: tuple[np.ndarray, np.ndarray], bound: float) -> Iterator[pd.DataFrame]:
+    """The vectors in their own cells, and once more for each cell they visit, a bounded number of visits at a time."""
+    step = max(1, PLACED_AT_ONCE // (len(books[0]) * len(books[1])))
+    turn = rotation(sum(book.shape[1] for book in books))
+    for at in range(0, len(part), step):
+        some = part.iloc[at : at + step]
+        own, row, cell = visits(unit(matrix(some["vector"])) @ turn, books, bound)
+        yield some.assign(cell=own, member=True)
+        for i in range(0, len(row), VISITS_AT_ONCE):
+            yield some.iloc[row[i : i + VISITS_AT_ONCE]].assign(cell=cell[i : i + VISITS_AT_ONCE], member=False)
+
+
 def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what ``links`` (rows: ids ``left``, columns: ids ``right``) connects."""
     far = np.iinfo(np.int64).max
@@ -111,9 +129,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, recall: float = 1
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 dim = int(dim)
-                own, row, cell = visits(unit(matrix(part["vector"])) @ rotation(dim), sent.value[0][dim], sent.value[1][dim])
-                yield part.assign(cell=own, member=True)
-                yield part.iloc[row].assign(cell=cell, member=False)
+                yield from placed_rows(part, sent.value[0][dim], sent.value[1][dim])
 
     placed = rows.mapInPandas(place, "vec_id long, label string, vector array<double>, dim int, cell long, member boolean")
     placed = write_stage(placed, "multi-placed")

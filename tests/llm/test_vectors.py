@@ -1,6 +1,9 @@
 """Operators on vectors against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from ratelantern.llm import multi_index, permutation_index
@@ -59,3 +62,26 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "a long, b long")
     found = {r.id: r.component for r in components(links).collect()}
     assert found == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+def test_placing_is_bounded_in_memory():
+    """Rows handed on and numbers held at once do not grow with the batch; the rows are those of all visits at once."""
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((4000, 16))
+    turned = multi_index.unit(rows) @ multi_index.rotation(16)
+    books = (multi_index.codebook(turned[:2000, :8], 128), multi_index.codebook(turned[:2000, 8:], 128))
+    part = pd.DataFrame({"vec_id": np.arange(4000), "vector": list(rows)})
+    tracemalloc.start()
+    most, seen = 0, []
+    for made in multi_index.placed_rows(part, books, 0.03):
+        most = max(most, len(made))
+        seen.append(made[["vec_id", "cell", "member"]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own, row, cell = multi_index.visits(turned, books, 0.03)
+    got = pd.concat(seen)
+    assert most <= multi_index.VISITS_AT_ONCE < len(row)
+    assert peak < 200 << 20
+    assert (got[got.member].cell.to_numpy() == own).all()
+    visits = got[~got.member]
+    assert sorted(zip(visits.vec_id, visits.cell)) == sorted(zip(row, cell))
