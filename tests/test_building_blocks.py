@@ -5,6 +5,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from ratelantern import adapters, session
 from ratelantern.operators.joins import lookup_join, skew_join
 from ratelantern.operators.ordered import mark_runs, row_chunk, running_offset
 from ratelantern.operators.quantiles import exact_quantiles
@@ -86,3 +87,26 @@ def test_lookup_join_both_ways(spark):
     small = lookup_join(left, lookup, ["k"], lookup_bytes=10, spread=["n"])
     large = lookup_join(left, lookup, ["k"], lookup_bytes=10**12, spread=["n"])
     assert rows(small, "k", "n", "v") == rows(large, "k", "n", "v")
+
+
+def test_stages_are_compressed_and_the_session_keeps_its_settings(spark):
+    before = spark.conf.get(session.METHOD_LIMIT)
+    spark.conf.set(session.METHOD_LIMIT, "65535")
+    try:
+        stored = session.write_stage(spark.range(10), "compressed")
+        assert spark.conf.get(session.METHOD_LIMIT) == "65535"
+    finally:
+        spark.conf.set(session.METHOD_LIMIT, before)
+    assert all(f.endswith(".zstd.parquet") for f in stored.inputFiles()) and stored.count() == 10
+
+
+def test_json_files_do_not_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    assert adapters.json_file_count(150_000) == 8
+    for orders in (1, 160_001, 9_000_000, 54_000_000):
+        files = adapters.json_file_count(orders)
+        assert files % 8 == 0 and orders / files <= adapters.ORDERS_PER_FILE
+    monkeypatch.setattr(adapters, "ORDERS_PER_FILE", 10)
+    documents = adapters.hospital_documents(spark, "/root/testdata/sf0.001").where("split(source_file, '-')[1] < 200")
+    n = documents.count()
+    adapters.write_hospital_json_files(documents, str(tmp_path / "json"))
+    assert n > 80 and len(list((tmp_path / "json").glob("file=*"))) > 8
