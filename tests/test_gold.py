@@ -7,6 +7,7 @@ import pytest
 from helpers import rows
 from test_star import charges
 
+from ratelantern import driver_queries
 from ratelantern.operators import star
 from ratelantern.plans import compare, detail, listings, search
 from ratelantern.sinks.gold import read_gold, write_gold
@@ -133,3 +134,30 @@ def test_search_reads_no_items(stars):
     plan = search.search(gold, "knee")._jdf.queryExecution().executedPlan().toString()
     assert "standard_charge_items" not in plan and "item_codes" not in plan
     assert "StringStartsWith(code_key,knee)" in plan and "EqualTo(gram," in plan
+
+
+def test_tables_are_written_by_name(spark, stars, tmp_path):
+    """A lookup needs the tables it reads; a table written alone has the rows it has among all."""
+    plain, gold, _ = stars
+    for name in ("code_prices", "item_prices"):
+        write_gold(plain, f"{tmp_path}/{name}", files=2, names={name})
+        assert glob.glob(f"{tmp_path}/{name}/*") == [f"{tmp_path}/{name}/{name}"]
+        alone = read_gold(spark, f"{tmp_path}/{name}", {name})[name]
+        assert alone.exceptAll(gold[name]).count() == gold[name].exceptAll(alone).count() == 0
+
+
+def test_all_codes_at_once_are_the_codes_one_by_one(stars):
+    plain, _, _ = stars
+    every = compare.selected_charges(plain)
+    one = compare.selected_charges(plain, "hot")
+    assert every.columns == one.columns
+    hot = every.where("code = 'hot'")
+    assert one.count() == 600 and hot.exceptAll(one).count() == one.exceptAll(hot).count() == 0
+
+
+def test_a_query_stores_the_star_tables_it_reads(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(driver_queries, "_staged", {})
+    monkeypatch.setattr(driver_queries, "write_stage", lambda df, name: stored.append(name) or df)
+    driver_queries.code_exists(spark, "/root/testdata/sf0.001")
+    assert stored == ["charges", "codes"]
