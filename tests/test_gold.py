@@ -161,3 +161,38 @@ def test_a_query_stores_the_star_tables_it_reads(spark, monkeypatch):
     monkeypatch.setattr(driver_queries, "write_stage", lambda df, name: stored.append(name) or df)
     driver_queries.code_exists(spark, "/root/testdata/sf0.001")
     assert stored == ["charges", "codes"]
+
+
+def test_tables_from_charge_rows_are_those_of_the_star(spark, stars, tmp_path):
+    """No star is stored or joined; items without a description, charges with no, one and many payers, repeated rows."""
+    dicts = [
+        {
+            "description": (None, "", "knee", "K\x1f", "İ kit")[i % 5],
+            "setting": "both",
+            "cpt_code": "hot" if i % 3 == 0 else f"{i % 7:05}",
+            "rc_code": f"R{i % 2}" if i % 4 else "",
+            "gross_charge": float(i % 11) + (1e-9 if i % 2 else 0.0),
+            "payer_name": f"payer {i % 2}" if i % 13 else None,
+            "plan_name": "PPO" if i % 3 else None,
+            "estimated_amount": float(i),
+            "additional_generic_notes": f"note {i % 2}" if i % 11 > 3 else None,
+            "additional_payer_notes": "" if i % 2 else "taxed",
+            "source_file": f"file-{i % 2}",
+            "hospital_name": f"hospital {i % 2}",
+        }
+        for i in range(600)
+    ]
+    lonely = [d | {"gross_charge": 99.0 + n, "payer_name": None, "plan_name": None} for n, d in enumerate(dicts[:40])]
+    made = star.with_ids(charges(spark, dicts + lonely * 2))
+    made.write.parquet(f"{tmp_path}/rows")
+    made = spark.read.parquet(f"{tmp_path}/rows")
+    write_star(star.build_star(made, skip_payer_charges=False), f"{tmp_path}/star")
+    write_gold({name: spark.read.parquet(f"{tmp_path}/star/{name}") for name in star.STAR_TABLES}, f"{tmp_path}/joined", files=2)
+    write_gold({"charge_rows": made}, f"{tmp_path}/read", files=2)
+    one, two = read_gold(spark, f"{tmp_path}/joined"), read_gold(spark, f"{tmp_path}/read")
+    for name in one:
+        assert one[name].columns == two[name].columns and one[name].count() == two[name].count() > 0, name
+        assert one[name].exceptAll(two[name]).count() == two[name].exceptAll(one[name]).count() == 0, name
+    chosen = compare.selected_charges({"charge_rows": made}, "hot", "CPT").drop("code_id")
+    hot = one["code_prices"].where("code = 'hot' and code_type = 'CPT'")
+    assert chosen.exceptAll(hot).count() == hot.exceptAll(chosen).count() == 0
