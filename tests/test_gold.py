@@ -196,3 +196,14 @@ def test_tables_from_charge_rows_are_those_of_the_star(spark, stars, tmp_path):
     chosen = compare.selected_charges({"charge_rows": made}, "hot", "CPT").drop("code_id")
     hot = one["code_prices"].where("code = 'hot' and code_type = 'CPT'")
     assert chosen.exceptAll(hot).count() == hot.exceptAll(chosen).count() == 0
+
+
+def test_counts_store_no_star(spark, monkeypatch, tmp_path):
+    """Counts read each table once, and the star is written once where files are asked for."""
+    stored = []
+    monkeypatch.setattr(driver_queries, "_staged", {})
+    monkeypatch.setattr(driver_queries, "_paths", {})
+    monkeypatch.setattr(driver_queries, "write_stage", lambda df, name: stored.append(name) or df)
+    for query in (driver_queries.table_counts, driver_queries.load_summary, driver_queries.star_files):
+        query(spark, "/root/testdata/sf0.001")
+    assert stored == ["charges"]
