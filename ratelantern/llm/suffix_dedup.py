@@ -48,8 +48,10 @@ REMEMBERED = 1 << 20
 #: Half of a 64-bit word holds a place among the bytes handled at once.
 PLACE = np.uint64(0xFFFFFFFF)
 
-PIECES = "k1 long, k2 long, start int, mark long, h1 long, h2 long, piece binary"
+PIECES = "mark long, h1 long, h2 long, piece binary"
+PLACES = "k1 long, k2 long, start int, h1 long, h2 long"
 COVERED = "h1 long, h2 long, covered binary"
+PACKED = "doc_id long, k1 long, k2 long, n_bytes long, packed binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -140,7 +142,8 @@ class Runs:
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        part = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // BYTES_AT_ONCE
+        sizes = batch.column("n_bytes") if "n_bytes" in batch.schema.names else pc.binary_length(batch.column("text"))
+        part = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // BYTES_AT_ONCE
         cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
@@ -211,6 +214,21 @@ def _counted(texts: DataFrame, bits: Bits, names_of: Callable[[list[bytes]], np.
     return again, frequent if any_hot else None
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts made small, each on its own, for the shuffle that takes them to their ranges."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c) for c in ("doc_id", "k1", "k2")),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([codec.compress(t, asbytes=True) if t else b"" for t in texts], pa.binary()),
+            ],
+            ["doc_id", "k1", "k2", "n_bytes", "packed"],
+        )
+
+
 def covered_ranges(again: np.ndarray, window: int) -> bytes:
     """Starts and ends (int32) of the maximal ranges that the marked windows cover."""
     at = np.nonzero(again)[0]
@@ -223,15 +241,16 @@ def covered_ranges(again: np.ndarray, window: int) -> bytes:
 
 
 def shard_ranges(table: pa.Table, window: int, portion_bytes: int) -> pa.Table:
-    """What is covered of each piece of a shard."""
-    table = table.combine_chunks().sort_by([("mark", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
+    """What is covered of each piece of a shard. A piece that a task sends again is empty; its text sorts first."""
+    table = table.append_column("size", pc.binary_length(table["piece"])).combine_chunks()
+    table = table.sort_by([("mark", "ascending"), ("h1", "ascending"), ("h2", "ascending"), ("size", "descending")])
     mark, h1, h2 = (table[c].to_numpy() for c in ("mark", "h1", "h2"))
     pieces = table["piece"]
     new = np.ones(len(mark), dtype=bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (mark[1:] != mark[:-1])
     first = np.nonzero(new)[0]
     copies = np.diff(first, append=len(mark)) > 1
-    sizes = pc.binary_length(pieces).to_numpy()[first].astype(np.int64)
+    sizes = table["size"].to_numpy()[first].astype(np.int64)
     # Portions of whole marks.
     mark_start = np.ones(len(first), dtype=bool)
     mark_start[1:] = mark[first[1:]] != mark[first[:-1]]
@@ -303,39 +322,53 @@ def without_repeats(
         return start, length, mark, runs
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces, each distinct one twice at most, the second time by name alone."""
         seen, sent = Seen(), Seen()
         for batch in _portions(batches):
-            texts, rows, before = _texts(batch, seen)
+            texts, _, _ = _texts(batch, seen)
             start, length, mark, runs = candidates(texts)
-            owner = np.searchsorted(runs.first, start, side="right") - 1 if len(texts) else start
             pieces, names, keep = [], [], []
-            for i, (a, n, row) in enumerate(zip(start.tolist(), length.tolist(), owner.tolist(), strict=True)):
+            for i, (a, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
                 piece = runs.text[a : a + n + window - 1]
                 name = xxhash.xxh3_128_digest(piece)
-                fresh = sent.again(name) < 2
-                if fresh or not before[row]:
+                times = sent.again(name)
+                if times < 2:
                     keep.append(i)
                     names.append(name)
-                    pieces.append(piece if fresh else None)
+                    pieces.append(b"" if times else piece)
+            hashes = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mark[keep].view(np.int64)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(pieces, pa.binary())],
+                ["mark", "h1", "h2", "piece"],
+            )
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where the pieces of each distinct text stand in it."""
+        seen = Seen()
+        for batch in _portions(batches):
+            texts, rows, before = _texts(batch, seen)
+            first = [i for i, times in enumerate(before) if not times]
+            start, length, _, runs = candidates([texts[i] for i in first])
+            owner = np.searchsorted(runs.first, start, side="right") - 1 if first else start
+            ends = (start + length + window - 1).tolist()
+            names = [xxhash.xxh3_128_digest(runs.text[a:b]) for a, b in zip(start.tolist(), ends, strict=True)]
             hashes = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
-            start, mark, owner = start[keep], mark[keep], owner[keep]
-            row = np.array(rows, dtype=np.int64)[owner]
+            row = pa.array(np.array(rows, dtype=np.int64)[np.array(first, dtype=np.int64)][owner])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("k1").take(pa.array(row)),
-                    batch.column("k2").take(pa.array(row)),
+                    batch.column("k1").take(row),
+                    batch.column("k2").take(row),
                     pa.array((start - runs.first[owner]).astype(np.int32)),
-                    pa.array(mark.view(np.int64)),
                     pa.array(hashes[:, 0]),
                     pa.array(hashes[:, 1]),
-                    pa.array(pieces, pa.binary()),
                 ],
-                ["k1", "k2", "start", "mark", "h1", "h2", "piece"],
+                ["k1", "k2", "start", "h1", "h2"],
             )
 
-    pieces = write_stage(base.select("text", "k1", "k2").mapInArrow(cut, PIECES), "suffix-pieces")
+    # Texts are cut twice, as storing the pieces next to their shuffle would take as much disk again.
     covered = write_stage(
-        pieces.where("piece IS NOT NULL")
+        base.select("text")
+        .mapInArrow(cut, PIECES)
         .select("mark", "h1", "h2", "piece", F.pmod(F.xxhash64("mark"), F.lit(shards)).alias("shard"))
         .repartition(shards, "shard")
         .groupBy("shard")
@@ -343,7 +376,8 @@ def without_repeats(
         "suffix-covered",
     )
     ranges = (
-        pieces.select("k1", "k2", "start", "h1", "h2")
+        base.select("text", "k1", "k2")
+        .mapInArrow(places, PLACES)
         .join(covered, ["h1", "h2"])
         .select("k1", "k2", "start", "covered")
         # One shuffle for both: copies of a text have sent their pieces from several tasks.
@@ -354,9 +388,14 @@ def without_repeats(
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for batch in _portions(batches):
             removed, spans, kept = [], [], []
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sizes = batch.column("n_bytes").to_pylist()
+            texts = [
+                codec.decompress(t, decompressed_size=n, asbytes=True) if n else b""
+                for t, n in zip(batch.column("packed").to_pylist(), sizes, strict=True)
+            ]
             for text, ranges in zip(texts, batch.column("ranges"), strict=True):
                 if ranges.is_valid:
                     found = ranges.values
@@ -375,7 +414,7 @@ def without_repeats(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array(sizes, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(spans, pa.int64()),
                     pa.array(kept, pa.binary()),
@@ -383,4 +422,5 @@ def without_repeats(
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return base.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges").mapInArrow(remove, RESULT)
+    texts = base.select("doc_id", "k1", "k2", "text").mapInArrow(packed, PACKED)
+    return texts.join(ranges, ["k1", "k2"], "left").select("doc_id", "n_bytes", "packed", "ranges").mapInArrow(remove, RESULT)

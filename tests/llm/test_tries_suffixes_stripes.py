@@ -192,3 +192,11 @@ def test_shares_are_exact():
     totals = [r.randint(1, 2**53) for _ in range(200)]
     counts = [r.randint(0, t) for t in totals]
     assert divergence_audit.scaled(np.array(counts), np.array(totals)).tolist() == [1 + 10**9 * c // t for c, t in zip(counts, totals, strict=True)]
+
+
+def test_suffix_dedup_stores_no_text(documents, monkeypatch):
+    stored, write_stage = [], suffix_dedup.write_stage
+    monkeypatch.setattr(suffix_dedup, "write_stage", lambda df, name: stored.append(df.columns) or write_stage(df, name))
+    found = suffix_dedup.without_repeats(documents("abcdefghij 1", "abcdefghij 2", "abcdefghij 1"), window=8, gram=4).collect()
+    assert sorted(r.n_removed for r in found) == [11, 12, 12]
+    assert stored == [["h1", "h2", "covered"]]
