@@ -5,8 +5,9 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from ratelantern import adapters, session
-from ratelantern.operators.joins import lookup_join, skew_join
+from ratelantern import adapters, driver_queries, session
+from ratelantern.operators import matching
+from ratelantern.operators.joins import lookup_join, skew_join, tasks_for
 from ratelantern.operators.ordered import mark_runs, row_chunk, running_offset
 from ratelantern.operators.quantiles import exact_quantiles
 
@@ -110,3 +111,28 @@ def test_json_files_do_not_grow_with_the_tables(spark, tmp_path, monkeypatch):
     n = documents.count()
     adapters.write_hospital_json_files(documents, str(tmp_path / "json"))
     assert n > 80 and len(list((tmp_path / "json").glob("file=*"))) > 8
+
+
+def test_tasks_grow_with_rows():
+    assert [tasks_for(n, 10) for n in (0, 1, 10, 11, 1000)] == [1, 1, 1, 2, 100]
+
+
+def test_skew_join_in_tasks(spark):
+    left = spark.createDataFrame([(n % 3, n) for n in range(60)], "k int, n int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c")], "k int, v string")
+    joined = skew_join(left, right, ["k"], spread=["n"], hot_rows=5, tasks=7)
+    assert rows(joined, "k", "n", "v") == rows(left.join(right, "k"), "k", "n", "v")
+    assert ", 7)" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_item_codes_by_number_of_rows(spark, monkeypatch):
+    """Items are dealt to tasks by their number, and links are counted before they meet the codes."""
+    columns = ", ".join(f"{c} string" for c in driver_queries.CODE_COLUMNS.values())
+    n = len(driver_queries.CODE_COLUMNS)
+    charges = [(f"item-{i % 4}", *["x" if i % 2 else None], *[None] * (n - 2), f"c{i % 4}") for i in range(12)]
+    stored = spark.createDataFrame(charges, f"item_id string, {columns}")
+    monkeypatch.setattr(driver_queries, "charge_rows", lambda spark, sf_dir: stored)
+    monkeypatch.setattr(driver_queries, "ITEM_ROWS_PER_TASK", 2)
+    found = driver_queries.item_codes(spark, "")
+    assert sorted((r.code, r.linked_items) for r in found.collect()) == [("c0", 1), ("c1", 1), ("c2", 1), ("c3", 1), ("x", 2)]
+    assert "hashpartitioning(item_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 6), REPARTITION_BY_NUM" in plan
