@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from ratelantern.fixed_values import MATCH_WEIGHTS
 from ratelantern.functions.clean import null_if_empty
 from ratelantern.functions.predicates import hios_state
+from ratelantern.operators.joins import skew_join, tasks_for
 from ratelantern.operators.star import hash_id
+from ratelantern.session import write_stage
 
 INDEX_COLUMNS = [
     "plan_id_type",
@@ -209,6 +211,8 @@ _ATTRIBUTES = ["name", "issuer", "metal_level", "plan_type", "ein"]
 _ANY = "\x00"
 # Employer plans name no state; they can be found by their EIN only.
 _ANY_STATE = "*"
+#: A task compares about so many combinations of attributes with the first plans that have them.
+OPTIONS_PER_TASK = 20_000
 
 
 def _digits(c: Column) -> Column:
@@ -332,9 +336,12 @@ def find_plans(
         )
     options = options.withColumn("class_key", _class_key([F.col(f"o_{a}") for a in _ATTRIBUTES]))
 
-    candidates = options.join(_first_plans(plans, config.max_results), ["block", "class_key"]).where(
-        (F.col("block") != _ANY_STATE) | F.col("o_ein").isNotNull()
-    )
+    # Each combination meets several wide rows, many of a state meet the same ones: dealt to tasks by their number.
+    options = write_stage(options, "match-options")
+    candidates = skew_join(
+        options, _first_plans(plans, config.max_results), ["block", "class_key"],
+        spread=["profile"], hot_rows=OPTIONS_PER_TASK, tasks=tasks_for(options.count(), OPTIONS_PER_TASK),
+    ).where((F.col("block") != _ANY_STATE) | F.col("o_ein").isNotNull())
     w = config.weights
     # A candidate can come up through several combinations; the one with most agreement says
     # which of its attributes agree.

@@ -136,3 +136,20 @@ def test_item_codes_by_number_of_rows(spark, monkeypatch):
     found = driver_queries.item_codes(spark, "")
     assert sorted((r.code, r.linked_items) for r in found.collect()) == [("c0", 1), ("c1", 1), ("c2", 1), ("c3", 1), ("x", 2)]
     assert "hashpartitioning(item_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 6), REPARTITION_BY_NUM" in plan
+
+
+def test_plans_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    """However few row groups a file has; combinations of attributes too."""
+    part = "p_partkey long, p_name string, p_type string, p_brand string, p_size int"
+    data = [(n, "small ring", "TIN", "Brand#11", 4) for n in range(1, 41)]
+    spark.createDataFrame(data, part).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    index = adapters.match_index(spark, str(tmp_path))
+    assert index.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    given = "input_id int, issuer_name string, plan_name string, state string, metal_level string, plan_type string, employer_name string, employer_ein string"
+    inputs = spark.createDataFrame([(n, "Brand 11", "small ring tin", r.state, None, None, None, None) for n, r in enumerate(index.where("state is not null").collect())], given)
+    expected = rows(matching.find_plans(index, inputs), "input_id", "rank", "plan_id", "match_score")
+    monkeypatch.setattr(matching, "OPTIONS_PER_TASK", 10)
+    asked = []
+    monkeypatch.setattr(matching, "skew_join", lambda *a, **kw: asked.append(kw["tasks"]) or skew_join(*a, **kw))
+    assert rows(matching.find_plans(index, inputs), "input_id", "rank", "plan_id", "match_score") == expected
+    assert expected and asked[0] > 1
