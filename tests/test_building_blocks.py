@@ -153,3 +153,12 @@ def test_plans_are_dealt_by_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(matching, "skew_join", lambda *a, **kw: asked.append(kw["tasks"]) or skew_join(*a, **kw))
     assert rows(matching.find_plans(index, inputs), "input_id", "rank", "plan_id", "match_score") == expected
     assert expected and asked[0] > 1
+
+
+def test_orders_are_dealt_by_number(spark, tmp_path):
+    """A scan has as many tasks as its file has splits, but only those with a row group have rows."""
+    orders = spark.range(1, 1001).coalesce(1)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    read = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    sizes = adapters.dealt(read, 50).rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert len(sizes) == 20 and max(sizes) <= 60 and sum(sizes) == 1000
