@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratelantern.llm.common import remembered
 from ratelantern.llm.components import components
 from ratelantern.llm.rolling import WordNames, mixed, words_of
 from ratelantern.session import write_stage
@@ -36,7 +37,6 @@ BATCH = 32
 BLOCK = 2048
 #: Ids are broadcast up to this number (8 bytes each) and joined by shuffle beyond it.
 BROADCAST_IDS = 4_000_000
-_names = WordNames()
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -44,7 +44,7 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     words = words_of(text, lower=True)
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    names = _names.of(words)
+    names = remembered(__name__, WordNames).of(words)
     k = min(shingle, len(names))
     made = names[: len(names) - k + 1].copy()
     for i in range(1, k):

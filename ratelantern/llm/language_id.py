@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelantern.llm.common import id_remainder
+from ratelantern.llm.common import id_remainder, remembered
 from ratelantern.llm.lattice import Edges, PieceTable
 from ratelantern.session import write_stage
 
@@ -38,13 +38,9 @@ MAX_KNOWN = 300_000
 #: Words above this length are summed one by one, with sums rescaled at every position.
 LONG = 48
 
-_tables: dict[str, PieceTable] = {}
-
 
 def piece_table(path: str) -> PieceTable:
-    if path not in _tables:
-        _tables[path] = PieceTable(path)
-    return _tables[path]
+    return remembered((__name__, path), lambda: PieceTable(path))
 
 
 def words_of(text: str) -> list[str]:
@@ -237,10 +233,6 @@ class Predictor:
         return result
 
 
-#: The predictor of the model in use, kept by a worker process between tasks.
-_predictors: dict[str, Predictor] = {}
-
-
 def predict(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray, np.ndarray], rows_at_once: int = 1024) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score; ``docs`` has a column text."""
     languages, prior, weights = fitted
@@ -250,10 +242,7 @@ def predict(docs: DataFrame, model: str, fitted: tuple[list[str], np.ndarray, np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, weights = sent.value
-        if languages and name not in _predictors:
-            _predictors.clear()
-            _predictors[name] = Predictor(model, weights)
-        predictor = _predictors[name] if languages else None
+        predictor = remembered((__name__, name), lambda: Predictor(model, weights)) if languages else None
         for whole in batches:
             for i in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(i, rows_at_once)

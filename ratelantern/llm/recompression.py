@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelantern.llm.common import pieces_for, text_bytes
+from ratelantern.llm.common import pieces_for, remembered, text_bytes
 from ratelantern.llm.rolling import BASE, OTHER_BASE, WordNames, mixed, prefix_hashes, span_hashes, words_of
 from ratelantern.session import write_stage
 
@@ -40,7 +40,6 @@ FILTER_BYTES = 64 << 20
 #: About so many words are handled at once.
 WORDS_AT_ONCE = 500_000
 NO_ID = -(2**63)
-_names = WordNames()
 
 
 class Parsed:
@@ -94,7 +93,7 @@ class Windows:
         counts = np.array([len(w) for w in self.words], dtype=np.int64)
         ends = np.cumsum(counts)
         self.first_word = ends - counts
-        names = _names.of([w for words in self.words for w in words])
+        names = remembered(__name__, WordNames).of([w for words in self.words for w in words])
         self.names = names
         prefix = prefix_hashes(names)
         per_doc = np.maximum(counts - window + 1, 0)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelantern.llm.bpe import MergeRule
+from ratelantern.llm.common import remembered
 from ratelantern.llm.lattice import BASE, SPACE, PieceTable
 
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -203,14 +204,9 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return remembered((__name__, path), lambda: Encoder(path))
 
 
 def _lists(ids: list[np.ndarray | None]) -> pa.Array:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelantern.llm.bpe import MergeRule
-from ratelantern.llm.common import text_of
+from ratelantern.llm.common import remembered, text_of
 
 # Fixed value: the public pattern that separates words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,14 +156,9 @@ class TokenCounter:
         return total + self.whole("".join(opened))
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
     """One counter per worker process; its tables are kept between batches."""
-    if path not in _counters:
-        _counters[path] = TokenCounter(path)
-    return _counters[path]
+    return remembered((__name__, path), lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_chars: int = 65_536) -> DataFrame:

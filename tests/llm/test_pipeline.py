@@ -1,13 +1,15 @@
 """The stages of the pipeline against brute force, each on its own input."""
 
+import gc
 import random
+import weakref
 
 import corpus_pipeline as pipeline
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from ratelantern.llm import pfair
+from ratelantern.llm import bayes_minhash, language_id, pfair, sentencepieces
 from ratelantern.llm.queries import MIX_BLOCK_DOCS, MIX_WEIGHTS
 from test_texts import components_of, removed
 
@@ -35,6 +37,21 @@ def corpus(documents):
     return documents(*texts, ids=ids, langs=langs, sources=[["a", "src0", None][i % 3] for i in range(len(texts))])
 
 
+def test_a_worker_remembers_one_operator_at_a_time():
+    """Workers outlive the stages of the pipeline."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    kept = sentencepieces.encoder(model)
+    assert sentencepieces.encoder(model) is kept
+    gone = [weakref.ref(kept)]
+    kept = language_id.piece_table(model)
+    gone.append(weakref.ref(kept))
+    del kept
+    names = bayes_minhash.shingle_set("a b c d", 3).tolist()
+    gc.collect()
+    assert [found() for found in gone] == [None, None]
+    assert bayes_minhash.shingle_set("a b c d", 3).tolist() == names
+
+
 def texts_of(df):
     return {r.doc_id: r.text for r in df.collect()}
 
