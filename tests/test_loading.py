@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from test_hospital_files import META, TALL, WIDE
 from test_star import FOUR, charges
 
+from ratelantern import adapters, driver_queries
+from ratelantern.fixed_values import CODE_COLUMNS
 from ratelantern.operators import star
 from ratelantern.operators.charges import conversion_stats, csv_charges, input_counts
+from ratelantern.schemas import CHARGE_COLUMNS, CHARGE_EXTRAS
 from ratelantern.session import write_stage
 from ratelantern.sources.charges import ledger_summary, load_directory
 from ratelantern.sources.hospital_csv import read_records
@@ -126,3 +129,24 @@ def test_a_batch_reads_the_buckets_it_touches(spark, tmp_path):
     assert scan.metrics().apply("numPartitions").value() <= 2
     assert scan.metrics().apply("numFiles").value() <= 2
     assert ingest.earlier_keys(spark, path, "plans", 1, codes(spark, ["7"])) is None
+
+
+def test_charge_files_hold_all_rows_and_no_ids(spark, tmp_path):
+    made = charges(spark, [{"description": f"Visit {i}", "cpt_code": str(i % 7), "row_ord": i} for i in range(100)])
+    adapters.write_charge_files(star.with_ids(made), f"{tmp_path}/files")
+    assert len(list((tmp_path / "files/good").glob("part-*"))) == 8
+    found = spark.read.parquet(f"{tmp_path}/files/good")
+    assert found.columns == [*CHARGE_COLUMNS, *CHARGE_EXTRAS]
+    assert rows(found) == rows(made.select(found.columns))
+    ledger = load_directory(spark, f"{tmp_path}/files", f"{tmp_path}/out", "*")
+    assert rows(ledger_summary(ledger), "outcome", "files", "rows_loaded") == [("failed", 1, 0), ("loaded", 8, 100)]
+
+
+def test_batches_of_codes_store_the_columns_of_codes_alone(spark, monkeypatch):
+    made = charges(spark, [{"cpt_code": str(i % 7), "rc_code": None if i % 2 else "0510", "row_ord": i} for i in range(40)])
+    monkeypatch.setattr(driver_queries.adapters, "charges", lambda spark, sf_dir: made)
+    found = driver_queries.dim_incremental(spark, "batches of codes")
+    expected = [(n, *code) for n in (1, 10) for code in [*((str(i), "CPT") for i in range(7)), ("0510", "RC")]]
+    assert rows(found, "batches", "code", "code_type") == sorted(expected, key=repr)
+    stored = {name: df.columns for (_, folder, name), df in driver_queries._staged.items() if folder == "batches of codes"}
+    assert stored == {"charge-codes": [*CODE_COLUMNS.values(), "row_ord"]}
