@@ -125,6 +125,16 @@ def test_skew_join_in_tasks(spark):
     assert ", 7)" in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_skew_join_broadcasts_no_side(spark):
+    """Without hot keys their list is empty, and a side joined to it looked empty to the optimizer."""
+    left = session.write_stage(spark.createDataFrame([(n % 30, n) for n in range(60)], "k int, n int"), "left")
+    right = session.write_stage(spark.createDataFrame([(n, "x" * 50) for n in range(30)], "k int, v string"), "right")
+    joined = skew_join(left, right, ["k"], spread=["n"], hot_rows=5, tasks=7)
+    assert len(joined.collect()) == 60
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k" in plan and "_salt" in plan.split("SortMergeJoin [k")[1].splitlines()[0]
+
+
 def test_item_codes_by_number_of_rows(spark, monkeypatch):
     """Items are dealt to tasks by their number, and links are counted before they meet the codes."""
     columns = ", ".join(f"{c} string" for c in driver_queries.CODE_COLUMNS.values())
