@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -101,6 +102,22 @@ def test_stages_are_compressed_and_the_session_keeps_its_settings(spark):
     assert all(f.endswith(".zstd.parquet") for f in stored.inputFiles()) and stored.count() == 10
 
 
+def test_a_stage_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and "shuffle_" in f}
+
+    before = held()
+    stored = session.write_stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and stored.count() == 7
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
+
+
 def test_json_files_do_not_grow_with_the_tables(spark, tmp_path, monkeypatch):
     assert adapters.json_file_count(150_000) == 8
     for orders in (1, 160_001, 9_000_000, 54_000_000):

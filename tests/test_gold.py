@@ -7,9 +7,10 @@ import pytest
 from helpers import rows
 from test_star import charges
 
-from ratelantern import driver_queries
+from ratelantern import adapters, driver_queries
 from ratelantern.operators import star
 from ratelantern.plans import compare, detail, listings, search
+from ratelantern.sinks import gold as gold_tables
 from ratelantern.sinks.gold import read_gold, write_gold
 from ratelantern.sinks.writers import write_star
 
@@ -207,3 +208,43 @@ def test_counts_store_no_star(spark, monkeypatch, tmp_path):
     for query in (driver_queries.table_counts, driver_queries.load_summary, driver_queries.star_files):
         query(spark, "/root/testdata/sf0.001")
     assert stored == ["charges"]
+
+
+def exchanges(df):
+    """The optimizer's shuffles, before any runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [line for line in plan.splitlines() if " Exchange " in line]
+
+
+def test_laid_out_tables_are_dealt_once(spark):
+    """Rows of an item meet where they are written: one shuffle, without ids that follow from other columns."""
+    made = star.with_ids(charges(spark, [{"description": "knee", "cpt_code": "1", "payer_name": "p", "source_file": "f"}]))
+    for dealt in (gold_tables._dealt_code_prices(made, 3), gold_tables._dealt_item_prices(made, 3)):
+        (only,) = exchanges(dealt)
+        assert "rangepartitioning" in only
+        assert dealt.count() == 1
+
+
+def test_prices_of_all_codes_are_moved_once(spark, stars):
+    _, gold, _ = stars
+    best = compare.best_prices({"code_prices": gold["code_prices"], "hospitals": spark.createDataFrame(gold["hospitals"].collect(), gold["hospitals"].schema)})
+    wide = [line for line in exchanges(best) if "estimated_amount" in line or "hashpartitioning(code" in line]
+    assert len(wide) == 1 and "hashpartitioning(code" in wide[0] and "gross_charge" not in wide[0]
+
+
+def test_line_items_are_moved_before_they_are_wide(spark):
+    """Orders are joined before parts and suppliers, whose texts are then not moved with every line item."""
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # orders and lines are shuffled, as they are when large
+    try:
+        plan = adapters.charges(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    at = next(i for i, line in enumerate(plan) if "Join" in line and "l_orderkey" in line and "o_orderkey" in line)
+    depth = plan[at].index("Join")
+    below = []
+    for line in plan[at + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    assert any("o_orderkey" in line for line in below) and not any("p_name" in line or "s_name" in line for line in below)
