@@ -130,6 +130,19 @@ def test_json_files_do_not_grow_with_the_tables(spark, tmp_path, monkeypatch):
     assert n > 80 and len(list((tmp_path / "json").glob("file=*"))) > 8
 
 
+def test_json_files_of_repeated_keys(spark, tmp_path):
+    """Elements that share the first place of their array, elements without text, and an array without elements."""
+    header = spark.createDataFrame([(f, '{"name":"x"}') for f in (0, 1)], "file bigint, text string")
+    elements = [(0, at, f'{{"n":{at}}}') for at in (2, 1, 1, 2)] + [(0, 0, None), (None, 1, '{"n":9}')]
+    arrays = {"a": spark.createDataFrame(elements, "file bigint, at bigint, text string")}
+    adapters.write_json_files(header, arrays | {"b": arrays["a"]}, str(tmp_path / "files"))
+    read = spark.read.schema("name string, a array<struct<n: int>>, b array<struct<n: int>>").options(multiLine=True, mode="FAILFAST").json(f"{tmp_path}/files/*")
+    assert rows(read.selectExpr("name", "a.n", "b.n")) == [("x", [1, 1, 2, 2], [1, 1, 2, 2]), ("x", [], [])]
+    npis = spark.createDataFrame([(7,), (7,), (8,), (None,)], "npi bigint")
+    adapters.write_npi_list(npis, str(tmp_path / "npis"))
+    assert rows(spark.read.options(multiLine=True, mode="FAILFAST").json(f"{tmp_path}/npis/part*")) == [("7",), ("7",), ("8",)]
+
+
 def test_tasks_grow_with_rows():
     assert [tasks_for(n, 10) for n in (0, 1, 10, 11, 1000)] == [1, 1, 1, 2, 100]
 
