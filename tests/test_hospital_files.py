@@ -105,6 +105,29 @@ def test_split_reading_gives_the_same_rows(spark, write, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_small_splits_share_tasks(spark, write, tmp_path, monkeypatch):
+    """Tasks that read split files follow from their bytes and not from the number of splits."""
+    from ratelantern.sources import hospital_csv
+
+    write("many.csv", TALL + "".join(f"Item {i},both,{i},CPT,,,{i},,,,,,,,\n" for i in range(3000)))
+    tasks, store = {}, hospital_csv.write_stage
+
+    def stored(df, name, *folders):
+        tasks[name] = df.rdd.getNumPartitions()
+        return store(df, name, *folders)
+
+    monkeypatch.setattr(hospital_csv, "write_stage", stored)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 10)
+    try:
+        records = hospital_csv.read_records(spark, str(tmp_path), split_above_bytes=0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks["csv-records"] <= 2 * spark.sparkContext.defaultParallelism
+    found = [tuple(r) for r in records.orderBy("row_ord").select("row_ord", records.cells[0]).collect()]
+    assert [name for _, name in found[-3000:]] == [f"Item {i}" for i in range(3000)]
+    assert [at - found[0][0] for at, _ in found] == list(range(len(found)))
+
+
 def test_layout_lookup_beyond_the_broadcast_limit(spark, write, monkeypatch):
     from ratelantern.operators import joins
     from ratelantern.sources import hospital_csv
