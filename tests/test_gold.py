@@ -210,6 +210,25 @@ def test_counts_store_no_star(spark, monkeypatch, tmp_path):
     assert stored == ["charges"]
 
 
+def test_listings_store_no_star(spark, monkeypatch):
+    """Listings and flags read each table of the star once, so none is stored for them."""
+    stored = []
+    monkeypatch.setattr(driver_queries, "_staged", {})
+    monkeypatch.setattr(driver_queries, "write_stage", lambda df, name: stored.append(name) or df)
+    for query in (driver_queries.hospital_flags, driver_queries.hospital_load_summary, driver_queries.item_descriptions, driver_queries.charge_values):
+        query(spark, "/root/testdata/sf0.001")
+    assert stored == ["charges"]
+
+
+def test_ids_are_moved_as_bytes(spark):
+    """Half as long as their text; what comes out is the text again."""
+    made = star.with_ids(charges(spark, [{"description": "knee", "cpt_code": "1", "source_file": f"f{i}", "gross_charge": 1.0} for i in range(3)]))
+    for table, key in ((star.items(made), "item_id"), (star.standard_charges(made), "standard_charge_id")):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert f"unhex({key}" in plan and table.select(key).distinct().exceptAll(made.select(key).distinct()).count() == 0
+        assert table.count() == 3
+
+
 def exchanges(df):
     """The optimizer's shuffles, before any runs."""
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
