@@ -10,6 +10,7 @@ from test_star import charges
 from ratelantern import adapters, driver_queries
 from ratelantern.operators import star
 from ratelantern.plans import compare, detail, listings, search
+from ratelantern.session import write_stage
 from ratelantern.sinks import gold as gold_tables
 from ratelantern.sinks.gold import read_gold, write_gold
 from ratelantern.sinks.writers import write_star
@@ -222,7 +223,8 @@ def test_listings_store_no_star(spark, monkeypatch):
 
 def test_ids_are_moved_as_bytes(spark):
     """Half as long as their text; what comes out is the text again."""
-    made = star.with_ids(charges(spark, [{"description": "knee", "cpt_code": "1", "source_file": f"f{i}", "gross_charge": 1.0} for i in range(3)]))
+    dicts = [{"description": "knee", "cpt_code": "1", "source_file": f"f{i}", "gross_charge": 1.0} for i in range(3)]
+    made = write_stage(star.with_ids(charges(spark, dicts)), "rows")
     for table, key in ((star.items(made), "item_id"), (star.standard_charges(made), "standard_charge_id")):
         plan = table._jdf.queryExecution().optimizedPlan().toString()
         assert f"unhex({key}" in plan and table.select(key).distinct().exceptAll(made.select(key).distinct()).count() == 0
